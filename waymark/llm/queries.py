@@ -7,12 +7,92 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, near_dedup, quality_rules, span_dedup
+from . import bpe, chat_format, line_templates, near_dedup, packing, quality_rules, sharding, span_dedup, transport_stream, url_filter
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op2_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms")
+
+
+def _op2_sql() -> str:
+    words, rules = url_filter.Vocabulary(), url_filter.RULES
+
+    def term(t: str) -> str:
+        return f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+
+    # Occurrences whose edges touch share a character: two passes over doubled separators count them all.
+    strict = " + ".join(
+        f"len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))" for t in words.strict
+    )
+    soft = " + ".join(f"CAST({term(t)} AS INT)" for t in words.soft)
+    fits = "\n".join(
+        f"        WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.pattern}'"
+        for r in sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
+    )
+    allowed = ", ".join(f"'{r.pattern}'" for r in rules if r.allow)
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return rf"""
+WITH split AS (
+    SELECT page_id, translate(coalesce(url, ''), {lower}) AS low,
+        translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1), {lower}) AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), judged AS (
+    SELECT *, CASE
+{fits}
+        END AS rule, {strict} AS strict_hits, {soft} AS soft_terms
+    FROM split
+)
+SELECT page_id, host, path, rule, CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_terms AS BIGINT) AS soft_terms,
+    CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ({allowed}) THEN 'allow' ELSE 'block' END
+        WHEN strict_hits > 0 OR soft_terms >= {words.enough} THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op3_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP3_SQL = f"""
+WITH sized AS (
+    SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, {sharding.BITS // 4}) AS BIGINT) AS bits
+    FROM documents
+), levels AS (
+    SELECT doc_id, n_bytes, d AS depth, bits >> ({sharding.BITS} - d) AS prefix
+    FROM sized, (SELECT CAST(unnest(range(0, {sharding.BITS + 1})) AS INT) AS d)
+), sums AS (
+    SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY depth, prefix) AS BIGINT) AS shard_bytes FROM levels
+)
+SELECT doc_id, n_bytes, depth || '-' || prefix AS shard, depth, shard_bytes, shard_bytes > {SHARD_BYTES} AS oversized
+FROM sums WHERE shard_bytes <= {SHARD_BYTES} OR depth = {sharding.BITS}
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
+def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.read_streams(transport_stream.stored_streams(table(spark, sf_dir, "documents")))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn_from_labels(docs, table(spark, sf_dir, "labels"))
@@ -22,6 +102,10 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.without_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
@@ -56,6 +140,18 @@ FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 """
 
 
+def op8_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    back = bpe.decoded(bpe.encoded(docs, path), path)
+    return back.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return span_dedup.without_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -94,12 +190,23 @@ FROM sets JOIN reached ON node = doc_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_role_repair": op1_role_repair,
+        "op2_url_vocabulary": op2_url_vocabulary,
+        "op3_extendible_hashing": op3_extendible_hashing,
+        "op4_transport_stream": op4_transport_stream,
         "op5_decision_list": op5_decision_list,
+        "op6_pattern_packing": op6_pattern_packing,
         "op7_line_templates": op7_line_templates,
+        "op8_speculative_bpe": op8_speculative_bpe,
         "op9_sentence_spans": op9_sentence_spans,
         "op10_min_max_hash": op10_min_max_hash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_templates": OP7_SQL, "op10_min_max_hash": OP10_SQL}
+    return {
+        "op2_url_vocabulary": _op2_sql(),
+        "op3_extendible_hashing": OP3_SQL,
+        "op7_line_templates": OP7_SQL,
+        "op10_min_max_hash": OP10_SQL,
+    }

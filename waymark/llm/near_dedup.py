@@ -46,7 +46,8 @@ _WORDS_KEPT = 400_000
 def banding(percent: int) -> tuple[int, int]:
     """(bands, rows) for a similarity of at least ``percent`` / 100: both fit in 180 signature values where that suffices."""
     for rows in range(8, 0, -1):
-        bands = math.ceil(math.log(1e-6) / math.log1p(-((percent / 100) ** rows)))
+        agree = min(0.999, (percent / 100) ** rows)
+        bands = math.ceil(math.log(1e-6) / math.log1p(-agree))
         if bands * rows <= 190 or rows == 1:
             return bands, rows
     raise AssertionError

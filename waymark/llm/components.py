@@ -19,6 +19,8 @@ def _towards_minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
     if both_ways:
         around = around.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Dealt anew, so that both sides are shuffled for the join alone and a hub's partition can be split.
+    least = least.hint("rebalance")
     moved = around.join(least, "a")
     if both_ways:
         return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import SPACES, without_positions
+from .support import SPACES, stored, without_positions
 
 VARIABLE = "<*>"
 
@@ -74,7 +74,9 @@ def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
 def dropped_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
     """(doc_id, _text_hash, drop): ascending positions of the lines that go."""
     rows = template_rows(docs, depth, short, min_tokens)
-    hits = rows.join(recurring_templates(rows, min_docs), "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    # As a table of its own both sides of the join are shuffled for it alone, so a hot template's partition can be split.
+    recurring = stored(recurring_templates(rows, min_docs), "templates")
+    hits = rows.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return hits.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 

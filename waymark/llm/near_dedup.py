@@ -244,6 +244,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     """(node, component) of representatives that share a band key, directly or through others."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    buckets = stored(buckets, "buckets")
     links = keyed.join(buckets.select("key", "least"), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
     return connected_components(links)
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .support import stored
+
 _ENDS = re.compile(r"[.!?][ \t\r\x0b\x0c]+|\n")
 
 
@@ -105,6 +107,8 @@ def covered_sentences(docs: DataFrame, min_sentences: int = 2, min_words: int =
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
     first = rows.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = first.select("span", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.start").alias("s"))
+    # As a table of its own both sides of the join are shuffled for it alone, so a hot span's partition can be split.
+    firsts = stored(firsts, "spans")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("start") == F.col("s"))
     later = rows.join(firsts, "span").where(~same)
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("spans"))

@@ -26,25 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import SPACES, stored, without_positions
+from .support import stored, without_positions
 
 VARIABLE = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    plain = F.translate(line, SPACES, " " * len(SPACES))
-    # The possessive part and the look-behind keep this linear in the length of a token.
-    masked = F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
-    return F.array_remove(F.split(masked, " "), "")
-
-
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text_hash, pos, tokens) for every line of every text."""
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "_text_hash", "pos", _tokens(F.col("line")).alias("tokens"))
-        .where(F.size("tokens") > 0)
-    )
+    tokens = F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), "")
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
 
 
 def template_rows(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3) -> DataFrame:
@@ -57,11 +47,13 @@ def template_rows(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: i
         picked = F.filter("tokens", lambda x, i: (i < depth) | (i % 2 == parity))
         return F.xxhash64(F.size("tokens"), F.lit(parity), picked)
 
-    whole = F.array(F.xxhash64(F.size("tokens"), F.lit(2), F.col("tokens")))
-    lines = _line_rows(docs).where(F.size("tokens") >= min_tokens)
-    return lines.select(
-        "doc_id", "_text_hash", "pos", F.explode(F.when(F.size("tokens") < short, whole).otherwise(F.array(half(0), half(1)))).alias("template")
-    )
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    parsed = lines.select("doc_id", "_text_hash", "pos", _tokens(F.col("line")).alias("tokens"))
+    n = F.size("tokens")
+    whole = F.array(F.xxhash64(n, F.lit(2), F.col("tokens")))
+    # A filter on the tokens would be pushed below their projection and split every line twice; an empty array drops the line too.
+    found = F.when(n < min_tokens, F.array().cast("array<long>")).when(n < short, whole).otherwise(F.array(half(0), half(1)))
+    return parsed.select("doc_id", "_text_hash", "pos", F.explode(found).alias("template"))
 
 
 def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -73,7 +65,7 @@ def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
     """(doc_id, _text_hash, drop): ascending positions of the lines that go."""
-    rows = template_rows(docs, depth, short, min_tokens)
+    rows = stored(template_rows(docs, depth, short, min_tokens), "lines")
     # As a table of its own both sides of the join are shuffled for it alone, so a hot template's partition can be split.
     recurring = stored(recurring_templates(rows, min_docs), "templates")
     hits = rows.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
@@ -88,7 +80,7 @@ def without_recurring_lines(docs: DataFrame, depth: int = 3, short: int = 8, min
     joined = left.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n")
     cleaned = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(without_positions(lines, F.col("drop")), "\n"))
-    n_lines = F.size(F.filter(lines, lambda x: F.char_length(F.translate(x, SPACES, "")) > 0))
+    n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     return joined.select(
         *[cleaned.alias("text") if c == "text" else F.col(c) for c in keep],
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),

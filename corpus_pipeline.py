@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import line_templates, near_dedup, packing, quality_rules, span_dedup
 from waymark.llm.support import SPACES, stored, table
+from waymark.shipping import shipped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,11 +58,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("near_dedup", near_duplicates),
-    ("substring_dedup", spans),
-    ("packing", pack),
+    ("quality_rules", shipped(quality)),
+    ("line_dedup", shipped(lines)),
+    ("near_dedup", shipped(near_duplicates)),
+    ("substring_dedup", shipped(spans)),
+    ("packing", shipped(pack)),
 ]
 
 #: Learned rules, min-max hashing and packing have no SQL form.

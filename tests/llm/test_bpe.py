@@ -20,7 +20,7 @@ def check(own, texts):
     for text, ids in zip(texts, own.encode(texts), strict=True):
         expected = own.library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == expected, text
-        assert own.decode(ids) == own.library.decode(expected, skip_special_tokens=False)
+        assert bpe.decoder(PATH).decode(ids) == own.library.decode(expected, skip_special_tokens=False)
 
 
 @settings(max_examples=150, deadline=None)
@@ -56,3 +56,17 @@ def test_frame_round_trip(docs_of, own):
     expected = {t or "": own.library.decode(own.library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for _, t in rows}
     assert sorted(r.decoded for r in found.collect()) == sorted(expected[t or ""] for _, t in rows)
     assert bpe.encoded(docs_of(rows).limit(0), PATH).collect() == []
+
+
+def test_round_trip_digests(docs_of, own, sample_texts):
+    import hashlib
+
+    found = bpe.round_trips(docs_of(sample_texts), PATH).collect()
+    texts = dict(sample_texts)
+    for r in found:
+        ids = own.library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        text = own.library.decode(ids, skip_special_tokens=False)
+        raw = np.array(ids, "<u4").tobytes()
+        expected = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected
+    assert len(found) == len(texts)

@@ -53,7 +53,7 @@ def test_learning_without_examples():
 
 
 def test_labels_and_empty_tables(spark, docs_of):
-    clean = [(i, " ".join(f"w{i * j % 997}" for j in range(60))) for i in range(120)]
+    clean = [(i, " ".join(f"w{i * j % 997}" for j in range(60))) for i in range(1, 121)]
     junk = [(1000 + i, " ".join(f"w{i * j % 991}#$%" for j in range(60))) for i in range(60)]
     docs = docs_of(clean + junk)
     labels = spark.createDataFrame([(i, 1) for i, _ in clean] + [(i, 0) for i, _ in junk] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")

@@ -7,12 +7,21 @@ from waymark.llm import span_dedup as sd
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .!?\n\t\r\"é", max_size=60))
+@given(st.text(alphabet="ab .!?\n\t\r\"é", max_size=60) | st.text(alphabet="abcdefgh  \n", min_size=100, max_size=400))
 def test_sentences_join_to_the_text(text):
     pieces = sd.sentences(text)
     assert "".join(pieces) == text and all(pieces)
 
 
+def test_long_sentences_are_cut_alike_wherever_they_stand():
+    words = [f"w{i * i % 977}" for i in range(200)]
+    pieces = sd.sentences(" ".join(words))
+    shifted = sd.sentences("other words before " + " ".join(words[7:]) + " and after. End.")
+    assert len(pieces) > 8 and "".join(pieces) == " ".join(words)
+    assert len(set(pieces[2:-1]) & set(shifted)) >= len(pieces) - 4
+    assert sd.sentences("short one. And two.") == ["short one. ", "And two."]
+
+
 def brute_spans(text, least, words):
     pieces = sd.sentences(text)
     real = [(i, p.split()) for i, p in enumerate(pieces) if re.search(r"[^\x20\x09-\x0D]", p)]
@@ -31,7 +40,7 @@ def brute_spans(text, least, words):
     return [(real[a][0], real[b - 1][0], tuple(x for _, w in real[a:b] for x in w)) for a, b in runs]
 
 
-def brute(rows, least=2, words=12):
+def brute(rows, least=2, words=10):
     places = {}
     for doc_id, text in rows:
         for start, end, body in brute_spans(text or "", least, words):

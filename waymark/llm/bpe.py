@@ -33,8 +33,8 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The pattern of the vocabulary file; every match is a word.
 _WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+"
 #: Pieces and words that a worker remembers, and the longest that it does.
-_REMEMBERED, _LONGEST = 600_000, 48
-_ROWS = 512
+_REMEMBERED, _LONGEST = 250_000, 48
+_ROWS = 256
 
 
 def byte_letters() -> list[str]:
@@ -181,25 +181,32 @@ class WordTokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.pattern = regex.compile(_WORD)
         self.letters = byte_letters()
-        names = {i: t for t, i in self.merges.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.merged_exactly = 0
 
-    def _words_of(self, piece: str) -> list[str]:
-        """The words of a piece, written in byte letters."""
-        plain = self.library.normalizer.normalize_str(piece)
+    def _words_of(self, plain: str) -> list[str]:
+        """The words of a normalised piece, written in byte letters."""
         if plain.isascii() and plain.isprintable():
-            return self.pattern.findall(plain)
+            return [plain] if plain.isalpha() else self.pattern.findall(plain)
         if max(plain) < "ɐ":
             letters = self.letters
-            return ["".join(letters[b] for b in w.encode()) for w in self.pattern.findall(plain)]
+            return ["".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(plain)]
         # Newer scripts: the library's own tables say what is a letter.
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
+    def _normalised(self, pieces: list[str]) -> list[str]:
+        """Each piece normalised; together, where the white space between them surely stays as it is."""
+        normalise = self.library.normalizer.normalize_str
+        simple = [p for p in pieces if p.isprintable() and " " not in p]
+        together = normalise(" ".join(simple)).split(" ") if simple else []
+        if len(together) != len(simple):
+            return [normalise(p) for p in pieces]
+        known = dict(zip(simple, together, strict=True))
+        return [known[p] if p in known else normalise(p) for p in pieces]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        split = [self._words_of(p) for p in pieces]
+        split = [self._words_of(p) if p else [] for p in self._normalised(pieces)]
         known = self.words
         new = list({w for ws in split for w in ws}.difference(known))
         ids, exact = self.merges.encode(new)
@@ -233,51 +240,94 @@ class WordTokenizer:
                 del known[p]
         return out
 
+
+class WordDecoder:
+    """Token names of a vocabulary file; all that decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+        self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
+
     def decode(self, ids: bytes) -> str:
         """The tokens, joined by spaces, as the file sets no decoder."""
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple[type, str], WordTokenizer | WordDecoder] = {}
+
+
+def _loaded(kind: type, path: str) -> WordTokenizer | WordDecoder:
+    """The tokenizer or decoder of a file, loaded once a worker."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a file, loaded once a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    return _loaded(WordTokenizer, path)
+
+
+def decoder(path: str) -> WordDecoder:
+    return _loaded(WordDecoder, path)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ``ids`` in place of their last column, a text."""
+    own = tokenizer(path)
+    for part in _slices(batches):
+        ids = own.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches with one more column, the text of the column ``ids``."""
+    own = decoder(path)
+    for part in _slices(batches):
+        texts = [own.decode(i.as_py() or b"") for i in part.column("ids")]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+
+
+def _schema(rows: DataFrame, *without: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name not in without)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) in place of the text column."""
     kept = [c for c in docs.columns if c not in (text, "ids")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                ids = own.encode([t or "" for t in part.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(ids, pa.binary())], [*kept, "ids"])
-
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != text)
-    return rows.mapInArrow(run, f"{schema}ids binary")
+    return rows.mapInArrow(lambda batches: _encode_batches(batches, path), _schema(rows, text) + "ids binary")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with one more column, ``decoded``: the text of the column ``ids``."""
-    kept = [c for c in rows.columns if c != "decoded"]
-    at_ids = kept.index("ids")
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "decoded"])
+    return rows.mapInArrow(lambda batches: _decode_batches(batches, path), _schema(rows) + "decoded string")
+
+
+def round_trips(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for (doc_id, text): encoded and decoded in one pass, digests only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS // 2):
-                part = batch.slice(at, _ROWS // 2)
-                texts = [own.decode(i.as_py() or b"") for i in part.column(at_ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
-
-    rows = rows.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, decoded string")
+        from hashlib import sha256
+
+        for part in _decode_batches(_encode_batches(batches, path), path):
+            ids = part.column("ids").to_pylist()
+            texts = part.column("decoded").to_pylist()
+            columns = [
+                part.column(0),
+                pa.array([len(i) // 4 for i in ids], pa.int64()),
+                pa.array([sha256(i).hexdigest() for i in ids], pa.string()),
+                pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

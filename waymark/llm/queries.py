@@ -141,15 +141,7 @@ FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 
 
 def op8_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("word_bpe_49k.json")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    back = bpe.decoded(bpe.encoded(docs, path), path)
-    return back.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trips(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

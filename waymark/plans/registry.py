@@ -7,7 +7,7 @@ from importlib import import_module
 FLAGSHIP = "steps_nested_features"
 
 #: Modules of this package that hold QUERIES: name -> (function, SQL or None).
-MODULES = ("records", "evaluation", "relations", "resampling", "texts", "learning")
+MODULES = ("records", "evaluation", "relations", "resampling", "texts", "learning", "contracts")
 
 
 def _all() -> dict:

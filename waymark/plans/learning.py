@@ -15,7 +15,7 @@ def embedding_norm_cosine(spark, sf):
     size = F.size("embedding")
     parts = vecs.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
-    joined = vecs.join(F.broadcast(centres), "label")
+    joined = vecs.join(centres, "label")
     return joined.select(
         "vec_id",
         F.round(vectors.norm(F.col("embedding")), 6).alias("norm"),

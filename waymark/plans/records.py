@@ -207,7 +207,7 @@ def namespace_fold_rollup(spark, sf):
     """Customers by folded namespace: several nations count as one group, with subtotals."""
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     folded = nations.withColumn("group_name", F.when(F.col("r_name").isin("ASIA", "MIDDLE EAST"), "EAST").otherwise(F.col("r_name")))
-    customers = table(spark, sf, "customer").join(F.broadcast(folded), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf, "customer").join(folded, F.col("c_nationkey") == F.col("n_nationkey"))
     found = customers.rollup("group_name", "n_name").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("customers"))
     return found
 

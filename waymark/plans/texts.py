@@ -111,14 +111,22 @@ PATHS_SQL = """SELECT page_id, starts_with(url, 'https:') AND suffix(url, '.html
 
 
 def marker_leaks(spark, sf):
-    """Texts that hold a benchmark's first words, by source: each marker is looked up where its first word stands."""
+    """Texts that hold a benchmark's first characters, by item.
+
+    Only three-word runs leave the texts, as hashes; they meet those that open a
+    marker, and the few texts that share one are read again to check the marker.
+    """
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    marker = F.substring("text", 1, 40)
-    markers = table(spark, sf, "benchmark").select("item_id", marker.alias("marker"))
-    # One row per marker's first word in a text, so the join is on equality; the marker itself is checked after it.
-    words = F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("first_word")
-    keyed = markers.withColumn("first_word", F.get(F.split("marker", r"\s+"), F.lit(0)))
-    hits = docs.select("doc_id", "source", "text", words).join(keyed, "first_word").where(F.contains("text", "marker"))
+    markers = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("marker"))
+
+    def opening(words, at):
+        return F.xxhash64(*[F.get(words, at + i) for i in range(3)])
+
+    runs = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 3)
+    hashed = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: opening(F.col("w"), i))))
+    keyed = markers.withColumn("run", opening(F.split("marker", r"\s+"), F.lit(0)))
+    candidates = runs.select("doc_id", hashed.alias("run")).join(keyed, "run").select("doc_id", "item_id", "marker")
+    hits = docs.join(candidates, "doc_id").where(F.contains("text", "marker"))
     return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("texts"), F.count_distinct("source").alias("sources"))
 
 

@@ -57,7 +57,7 @@ def brute(rows, least=2, words=10):
 
 
 def test_equals_brute_force(docs_of, sample_texts):
-    found = sd.without_repeated_spans(docs_of(sample_texts, ", spans string, n_removed string")).collect()
+    found = sd.without_repeated_spans(docs_of(sample_texts, ", spans string, n_removed string, _id string, drop string")).collect()
     expected = brute(sample_texts)
     assert sorted((r.doc_id, r.text) for r in found) == expected
     assert sum(a[1] != b[1] for a, b in zip(expected, sorted(sample_texts))) > 15

@@ -1,8 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences: after every line break, and after white space
-that follows ``.``, ``!`` or ``?``. The pieces join to the text again. From
-every sentence starts a span: the shortest run of at least ``min_sentences``
+that follows ``.``, ``!`` or ``?``. A sentence of more than ``LONGEST`` words is
+cut further, after words that a hash picks, so the same words are cut alike
+wherever they stand. The pieces join to the text again. From every sentence starts a span: the shortest run of at least ``min_sentences``
 sentences that holds at least ``min_words`` words. Where the rest of the text is
 too short for that, one more span ends with the last sentence. Spans are hashed
 over their words, so white space does not matter. The first occurrence of a
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,17 +33,36 @@ from pyspark.sql import functions as F
 
 from .support import stored
 
+#: Words of a sentence that is not cut further; one word in so many ends a piece of a longer one.
+LONGEST, _ONE_IN = 30, 10
+
 _ENDS = re.compile(r"[.!?][ \t\r\x0b\x0c]+|\n")
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
+
+
+def _cut(sentence: str) -> list[str]:
+    """A long sentence in pieces that end after words picked by their hash, or after LONGEST words without such a one."""
+    pieces, at, n = [], 0, 0
+    for m in _WORD.finditer(sentence):
+        n += 1
+        if n == LONGEST or crc32(m[0].rstrip(" \t\n\r\x0b\x0c").encode("utf-8", "surrogatepass")) % _ONE_IN == 0:
+            pieces.append(sentence[at : m.end()])
+            at, n = m.end(), 0
+    if at < len(sentence):
+        pieces.append(sentence[at:])
+    return pieces
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces of a text that join to it, cut after line breaks and after white space behind ``.``, ``!``, ``?``."""
+    """Pieces of a text that join to it: its sentences, long ones in parts."""
     pieces, at = [], 0
-    for m in _ENDS.finditer(text):
-        pieces.append(text[at : m.end()])
-        at = m.end()
-    if at < len(text):
-        pieces.append(text[at:])
+    for end in [m.end() for m in _ENDS.finditer(text)] + [len(text)]:
+        sentence = text[at:end]
+        at = end
+        if len(sentence) > 2 * LONGEST and len(sentence.split()) > LONGEST:
+            pieces += _cut(sentence)
+        elif sentence:
+            pieces.append(sentence)
     return pieces
 
 
@@ -100,7 +121,7 @@ def span_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, text_hash int, start int, n int, span long")
 
 
-def covered_sentences(docs: DataFrame, min_sentences: int = 2, min_words: int = 12) -> DataFrame:
+def covered_sentences(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:
     """(doc_id, text_hash, spans): the later occurrences of repeated spans in each text, as array<struct<start, n>>."""
     rows = span_rows(docs, min_sentences, min_words)
     # Nulls come first in Spark's order of structs; rows without doc_id are to come last.
@@ -116,7 +137,7 @@ def covered_sentences(docs: DataFrame, min_sentences: int = 2, min_words: int =
 
 def _strip(rows: DataFrame) -> DataFrame:
     """``rows`` (..., text, spans) with the spans' sentences removed, ``n_sentences`` and ``n_removed`` at the end."""
-    kept = [c for c in rows.columns if c != "spans"]
+    kept = [c for c in rows.columns if c != "_wm_spans"]
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +156,14 @@ def _strip(rows: DataFrame) -> DataFrame:
             counts = [pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *counts], [*kept, "n_sentences", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "spans")
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "spans").mapInArrow(run, f"{schema}, n_sentences long, n_removed long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_wm_spans")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans").mapInArrow(run, f"{schema}, n_sentences long, n_removed long")
 
 
-def without_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 12) -> DataFrame:
+def without_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:
     """``docs`` with cleaned ``text``, ``n_sentences`` and ``n_removed`` (sentences)."""
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "spans")]
-    found = covered_sentences(docs, min_sentences, min_words).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    found = covered_sentences(docs, min_sentences, min_words).withColumnsRenamed({"doc_id": "_wm_id", "text_hash": "_wm_of", "spans": "_wm_spans"})
     left = docs.select(*[F.col(f"`{c}`") for c in kept])
-    joined = left.join(found, left["doc_id"].eqNullSafe(found["_id"]) & (F.hash(left["text"]) == found["_hash"]), "left")
-    return _strip(joined.select(*[F.col(f"`{c}`") for c in kept], "spans"))
+    joined = left.join(found, left["doc_id"].eqNullSafe(found["_wm_id"]) & (F.hash(left["text"]) == found["_wm_of"]), "left")
+    return _strip(joined.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans"))

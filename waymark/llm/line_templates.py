@@ -38,7 +38,7 @@ def _tokens(line: Column) -> Column:
 
 
 def template_rows(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3) -> DataFrame:
-    """(doc_id, _text_hash, pos, template): one or two template hashes for each line.
+    """(doc_id, _wm_hash, pos, template): one or two template hashes for each line.
 
     Lines of fewer than ``min_tokens`` tokens get none: they coincide by chance.
     """
@@ -47,13 +47,13 @@ def template_rows(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: i
         picked = F.filter("tokens", lambda x, i: (i < depth) | (i % 2 == parity))
         return F.xxhash64(F.size("tokens"), F.lit(parity), picked)
 
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    parsed = lines.select("doc_id", "_text_hash", "pos", _tokens(F.col("line")).alias("tokens"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_wm_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    parsed = lines.select("doc_id", "_wm_hash", "pos", _tokens(F.col("line")).alias("tokens"))
     n = F.size("tokens")
     whole = F.array(F.xxhash64(n, F.lit(2), F.col("tokens")))
     # A filter on the tokens would be pushed below their projection and split every line twice; an empty array drops the line too.
     found = F.when(n < min_tokens, F.array().cast("array<long>")).when(n < short, whole).otherwise(F.array(half(0), half(1)))
-    return parsed.select("doc_id", "_text_hash", "pos", F.explode(found).alias("template"))
+    return parsed.select("doc_id", "_wm_hash", "pos", F.explode(found).alias("template"))
 
 
 def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -64,25 +64,25 @@ def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
-    """(doc_id, _text_hash, drop): ascending positions of the lines that go."""
+    """(doc_id, _wm_hash, drop): ascending positions of the lines that go."""
     rows = stored(template_rows(docs, depth, short, min_tokens), "lines")
     # As a table of its own both sides of the join are shuffled for it alone, so a hot template's partition can be split.
     recurring = stored(recurring_templates(rows, min_docs), "templates")
     hits = rows.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    return hits.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    return hits.groupBy("doc_id", "_wm_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
     """``docs`` with cleaned ``text`` and the columns ``n_lines`` and ``n_dropped`` (non-blank lines)."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_text_hash", "drop")]
-    drops = dropped_lines(docs, depth, short, min_tokens, min_docs).withColumnsRenamed({"doc_id": "_id", "_text_hash": "_hash"})
-    left = docs.select(*keep, F.xxhash64("text").alias("_text_hash"))
-    joined = left.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    drops = dropped_lines(docs, depth, short, min_tokens, min_docs).withColumnsRenamed({"doc_id": "_wm_id", "_wm_hash": "_wm_of", "drop": "_wm_drop"})
+    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias("_wm_hash"))
+    joined = left.join(drops, F.col("doc_id").eqNullSafe(F.col("_wm_id")) & (F.col("_wm_hash") == F.col("_wm_of")), "left")
     lines = F.split("text", "\n")
-    cleaned = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(without_positions(lines, F.col("drop")), "\n"))
+    cleaned = F.when(F.col("_wm_drop").isNull(), F.col("text")).otherwise(F.array_join(without_positions(lines, F.col("_wm_drop")), "\n"))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     return joined.select(
-        *[cleaned.alias("text") if c == "text" else F.col(c) for c in keep],
+        *[cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep],
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
+        F.when(F.col("_wm_drop").isNull(), 0).otherwise(F.size("_wm_drop")).cast("long").alias("n_dropped"),
     )

@@ -23,6 +23,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .support import stored
 
 _ROWS = 256
 #: Pieces that a worker remembers, and the longest that it does.
-_REMEMBERED, _LONGEST = 400_000, 48
+_REMEMBERED, _LONGEST = 700_000, 48
 #: Fixed value: the pattern of byte-level vocabularies; every match is merged for itself.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,36 +68,44 @@ class ByteTokenizer:
         self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = re.compile(r" (?=\s|\Z)")
         self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _remember(self, wanted: set[str], known: dict[str, bytes], lead: str) -> list[str]:
+        """Put the ids of new pieces (after ``lead``) into ``known``; those too long to keep are returned."""
+        new = wanted.difference(known)
+        merge = self.fast.encode_ordinary
+        plain = [p for p in new if len(p) <= _LONGEST and (p.isascii() or max(p) < "ɐ")]
+        known.update((p, array("I", merge(lead + p)).tobytes()) for p in plain)
+        others = list(new.difference(plain))
+        known.update(zip(others, self._library([lead + p for p in others]), strict=True))
+        return [p for p in others if len(p) > _LONGEST]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.pieces
-        if len(known) > _REMEMBERED:
-            known.clear()
+        heads, known = self.heads, self.pieces
+        for memory in (heads, known):
+            if len(memory) > _REMEMBERED:
+                memory.clear()
         direct = [i for i, t in enumerate(texts) if "<|" in t or self.whole.search(t)]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(direct, self._library([texts[i] for i in direct]), strict=True):
             out[i] = ids
-        apart = {}
+        # The first piece of a text has no space before it, all others have.
+        split = {i: texts[i].split(" ") for i in set(range(len(texts))).difference(direct)}
+        firsts = {i: s.pop(0) for i, s in split.items()}
         wanted: set[str] = set()
-        for i in set(range(len(texts))).difference(direct):
-            first, *rest = texts[i].split(" ")
-            apart[i] = [first, *[" " + r for r in rest]]
-            wanted.update(apart[i])
-        new = wanted.difference(known)
-        merge = self.fast.encode_ordinary
-        plain = [p for p in new if len(p) <= _LONGEST and (p.isascii() or max(p) < "ɐ")]
-        known.update((p, array("I", merge(p)).tobytes()) for p in plain)
-        others = list(new.difference(plain))
-        known.update(zip(others, self._library(others), strict=True))
-        for i, split in apart.items():
-            out[i] = b"".join(map(known.__getitem__, split))
-        for p in others:
-            if len(p) > _LONGEST:
-                del known[p]
+        wanted.update(*split.values())
+        long_heads = self._remember(set(firsts.values()), heads, "")
+        long_pieces = self._remember(wanted, known, " ")
+        for i, rest in split.items():
+            out[i] = heads[firsts[i]] + b"".join(map(known.__getitem__, rest))
+        for p in long_heads:
+            del heads[p]
+        for p in long_pieces:
+            del known[p]
         return out
 
 
@@ -115,9 +124,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(at, capacity) for at in range(first, n, capacity)]]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """(doc_id, piece, start, length, ids) for (doc_id, text); ids: little-endian unsigned 32-bit."""
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) for (doc_id, text); ids: little-endian unsigned 32-bit."""
     closing = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -129,13 +139,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
                     ids += closing
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((doc_id, k, start, length, ids[4 * start : 4 * (start + length)]))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids"])
+                        piece = ids[4 * start : 4 * (start + length)]
+                        rows.append((doc_id, k, start, length, crc32(piece), piece))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: len(names)])]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return slim.mapInArrow(run, schema)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -318,14 +330,12 @@ def placed(rows: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def packed(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for (doc_id, text)."""
-    cut_up = pieces(docs, path, capacity, end_id)
-    digests = stored(cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return placed(digests, capacity)
+    return placed(stored(pieces(docs, path, capacity, end_id, with_ids=False), "pieces"), capacity)
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(sequence_id, n_tokens, ids) of the packed sequences; each holds ``capacity`` ids at most."""
-    cut_up = pieces(docs, path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    cut_up = pieces(docs, path, capacity, end_id)
     where = packed(docs, path, capacity, end_id)
     # Equal keys belong to equal pieces of repeated rows: number them alike on both sides.
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]

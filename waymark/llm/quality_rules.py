@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import SPACES, let, words
+from .support import let, words
 
 #: Ratios on which rules may test, by name, from the columns of with_statistics().
 FEATURES = {
@@ -95,26 +95,27 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
 
     def without(chars: str) -> Column:
-        return (F.char_length(t) - F.char_length(F.translate(t, chars, ""))).cast("long")
+        return (F.char_length(t) - F.char_length(F.regexp_replace(t, f"[{chars}]+", ""))).cast("long")
 
-    keep = [c for c in docs.columns if c not in (*STATISTICS, "_words", "_lines")]
+    keep = [c for c in docs.columns if c not in (*STATISTICS, "_wm_words", "_wm_lines")]
     split = docs.select(
         *keep,
-        words(F.col(text)).alias("_words"),
-        F.filter(F.split(t, "\n"), lambda x: F.char_length(F.translate(x, SPACES, "")) > 0).alias("_lines"),
+        words(F.col(text)).alias("_wm_words"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_wm_lines"),
     )
-    return split.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.translate(t, SPACES, "")).cast("long").alias("n_word_chars"),
+    measured = F.struct(
+        F.size("_wm_words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("_wm_words", "")).cast("long").alias("n_word_chars"),
         without("#*$%&|<>").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_word_count(F.col("_words")).alias("n_repeat_words"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        without("0123456789").alias("n_digits"),
+        F.size("_wm_lines").cast("long").alias("n_lines"),
+        (F.size("_wm_lines") - F.size(F.array_distinct("_wm_lines"))).cast("long").alias("n_dup_lines"),
+        repeat_word_count(F.col("_wm_words")).alias("n_repeat_words"),
+        without("A-Z").alias("n_upper"),
+        without("0-9").alias("n_digits"),
         F.char_length(t).cast("long").alias("n_chars_all"),
     )
+    # A generator: filters on statistics are not pushed below it, where each would compute them again.
+    return split.select(*keep, F.inline(F.array(measured)))
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
@@ -164,15 +165,18 @@ def learn(
     max_conditions: int = 3,
     max_rules: int = 12,
     min_precision: float = 0.95,
+    max_error: float = 0.005,
     min_covered: int = 5,
 ) -> DecisionList:
     """Sequential covering over ``(values, bad)`` rows.
 
-    Two thirds of the rows grow a rule (best information gain), one third prunes
-    it (conditions are cut from the end while precision there does not fall).
-    A rule is accepted if its smoothed precision over all remaining rows reaches
-    ``min_precision``; its rows are then removed and the next rule is grown.
-    Sets of rows are integers used as bit sets.
+    Two thirds of the rows grow a rule (conditions by information gain), one
+    third prunes it (a condition goes if precision there does not fall). Where
+    a single condition is precise enough, the one that covers most is taken
+    before any conjunction. A rule is accepted if, over all remaining rows, its
+    smoothed precision reaches ``min_precision`` and at most ``max_error`` of
+    what it covers is good; its rows are then removed and the next rule is
+    grown. Sets of rows are integers used as bit sets.
     """
     rows = sorted(rows)
     n = len(rows)
@@ -204,36 +208,40 @@ def learn(
         p1, n1 = (after & bad & grow).bit_count(), (after & grow).bit_count()
         return 0.0 if not p1 else p1 * (math.log2(p1 / n1) - math.log2(p0 / n0))
 
-    rules: list[Rule] = []
-    left = everything
-    while len(rules) < max_rules and (left & bad & grow).bit_count() >= min_covered:
-        chosen: list[tuple[Condition, int]] = []
-        cover = left
-        while len(chosen) < max_conditions and cover & grow & ~bad:
-            best = max(table, key=lambda c: (gain(cover, cover & c[1]), -len(c[0].feature), -c[0].threshold), default=None)
-            if best is None or gain(cover, cover & best[1]) <= 0:
-                break
-            chosen.append(best)
-            cover &= best[1]
-        if not chosen:
-            break
+    def covered_by(conditions: list[tuple[Condition, int]], among: int) -> int:
+        for _, mask in conditions:
+            among &= mask
+        return among
 
-        def covered_by(conditions: list[tuple[Condition, int]], among: int) -> int:
-            for _, mask in conditions:
-                among &= mask
-            return among
+    def worth(cover: int) -> float:
+        return ((cover & bad).bit_count() + 0.5) / (cover.bit_count() + 1)
 
-        def worth(conditions: list[tuple[Condition, int]], among: int) -> float:
-            rows_in = covered_by(conditions, among)
-            return ((rows_in & bad).bit_count() + 0.5) / (rows_in.bit_count() + 1)
+    def sound(cover: int) -> bool:
+        n = cover.bit_count()
+        return n >= min_covered and worth(cover) >= min_precision and (cover & ~bad).bit_count() <= max_error * n
 
-        while len(chosen) > 1 and worth(chosen[:-1], left & ~grow) >= worth(chosen, left & ~grow):
-            chosen.pop()
-        cover = covered_by(chosen, left)
-        precision = worth(chosen, left)
-        if cover.bit_count() < min_covered or precision < min_precision:
+    rules: list[Rule] = []
+    left = everything
+    while len(rules) < max_rules and (left & bad & grow).bit_count() >= min_covered:
+        alone = [c for c in table if sound(left & c[1])]
+        if alone:
+            chosen = [max(alone, key=lambda c: ((left & c[1]).bit_count(), c[0].feature, c[0].threshold))]
+        else:
+            chosen, cover = [], left
+            while len(chosen) < max_conditions and cover & grow & ~bad:
+                best = max(table, key=lambda c: (gain(cover, cover & c[1]), c[0].feature, c[0].threshold), default=None)
+                if best is None or gain(cover, cover & best[1]) <= 0:
+                    break
+                chosen.append(best)
+                cover &= best[1]
+            for c in list(chosen):
+                rest = [x for x in chosen if x is not c]
+                if rest and worth(covered_by(rest, left & ~grow)) >= worth(covered_by(chosen, left & ~grow)):
+                    chosen = rest
+        cover = covered_by(chosen, left) if chosen else 0
+        if not sound(cover):
             break
-        rules.append(Rule(tuple(c for c, _ in chosen), precision, cover.bit_count()))
+        rules.append(Rule(tuple(c for c, _ in chosen), worth(cover), cover.bit_count()))
         left &= ~cover
     return DecisionList(tuple(rules))
 
@@ -244,11 +252,12 @@ def _after(values: list[float], cut: float) -> int:
     return min(bisect.bisect_right(values, cut), len(values) - 1)
 
 
-def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> DecisionList:
+def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DecisionList:
     """A decision list from the documents that ``labels`` (doc_id, quality) covers.
 
     ``max_labelled`` bounds the sample of labelled rows: those whose doc_id has
-    the smallest hashes. Only that sample leaves the executors.
+    the smallest hashes. Only that sample leaves the executors. Documents that
+    fail the base rules teach nothing, as they are rejected without the list.
     """
     sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -259,7 +268,7 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 60
     )
     # At most max_labelled pairs of a long and an int, whatever the input: small enough to broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    measured = with_statistics(chosen).select(
+    measured = with_statistics(chosen).where(~base_failed()).select(
         *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], (F.col("_quality") == 0).alias("_bad")
     )
     rows = [(tuple(r[:-1]), r[-1]) for r in measured.collect()]

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -78,3 +79,31 @@ def test_nulls_repeated_rows_and_empty_tables(docs_of):
     found = sorted(((r.doc_id, r.text) for r in sd.without_repeated_spans(docs_of(rows)).collect()), key=repr)
     assert found == sorted([(1, text), (1, text), (None, ""), (2, None), (2, ""), (4, "short one. and two.")], key=repr)
     assert sd.without_repeated_spans(docs_of(rows).limit(0)).collect() == []
+
+
+def test_passages_between_other_words_go_wherever_sentences_end(docs_of):
+    draw = random.Random(5)
+    rows, passages = [], []
+    for n, ends in enumerate([(15, 43), (15, 40), (), (25,), (1, 26), (20, 21, 47), (29,), (8, 17, 26, 35, 44)] * 5):
+        words = [f"p{n}x{draw.randrange(10**6)}" for _ in range(58 if n % 2 else 50)]
+        passage = " ".join(w + "." if i in ends else w for i, w in enumerate(words))
+        passages.append(passage)
+        for side in (0, 1):
+            own = [" ".join(f"o{n}x{side}x{draw.randrange(10**6)}" for _ in range(draw.randint(1, 40))) for _ in range(2)]
+            rows.append((2 * n + side, f"{own[0]} {passage} {own[1]}"))
+    found = {r.doc_id: r.text for r in sd.without_repeated_spans(docs_of(rows)).collect()}
+    for n, passage in enumerate(passages):
+        assert passage in found[2 * n] and passage not in found[2 * n + 1]
+
+
+LETTERS = st.sampled_from("abcdefghijklmnop")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LETTERS, min_size=50, max_size=50), st.lists(st.lists(LETTERS, max_size=25), min_size=4, max_size=4))
+def test_fifty_words_hold_a_common_span(passage, around):
+    def bodies(before, after):
+        return {b for *_, b in sd.spans(sd.sentences(" ".join([*before, "<", *passage, ">", *after])), 2, 10)}
+
+    text = " ".join(passage).encode()
+    assert {b for b in bodies(*around[:2]) if b in text} & bodies(*around[2:])

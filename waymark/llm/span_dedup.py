@@ -1,15 +1,23 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences: after every line break, and after white space
-that follows ``.``, ``!`` or ``?``. A sentence of more than ``LONGEST`` words is
-cut further, after words that a hash picks, so the same words are cut alike
-wherever they stand. The pieces join to the text again. From every sentence starts a span: the shortest run of at least ``min_sentences``
-sentences that holds at least ``min_words`` words. Where the rest of the text is
+that follows ``.``, ``!`` or ``?``. Within a sentence the word with the smallest
+hash of every ``WINDOW`` successive words ends a piece too, so a piece has at most
+``WINDOW`` words and the same words are cut alike wherever they stand. The pieces
+join to the text again. From every piece, called sentence below, starts a span:
+the shortest run of at least ``min_sentences`` sentences that holds at least
+``min_words`` words. Where the rest of the text is
 too short for that, one more span ends with the last sentence. Spans are hashed
 over their words, so white space does not matter. The first occurrence of a
 span is the one with the smallest (doc_id, text hash, place); sentences that
 any later occurrence covers are removed.
 
+Cuts are alike in two texts from word ``WINDOW`` of a common passage to as many
+words before its end. A passage of 50 words with the same white space thus holds
+a whole span, whatever surrounds it: the first common cut stands after 19 words
+at most, and a span of 2 pieces and 10 words ends within 20 more. Of a passage
+up to 19 words at its start and 27 at its end may stay.
+
 Spans are counted with map-side partial aggregation and marked by an equi-join
 whose skewed partitions adaptive execution splits; a text only meets its own
 spans again.
@@ -25,45 +33,60 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import stored
 
-#: Words of a sentence that is not cut further; one word in so many ends a piece of a longer one.
-LONGEST, _ONE_IN = 30, 10
-
-_ENDS = re.compile(r"[.!?][ \t\r\x0b\x0c]+|\n")
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
-
-
-def _cut(sentence: str) -> list[str]:
-    """A long sentence in pieces that end after words picked by their hash, or after LONGEST words without such a one."""
-    pieces, at, n = [], 0, 0
-    for m in _WORD.finditer(sentence):
-        n += 1
-        if n == LONGEST or crc32(m[0].rstrip(" \t\n\r\x0b\x0c").encode("utf-8", "surrogatepass")) % _ONE_IN == 0:
-            pieces.append(sentence[at : m.end()])
-            at, n = m.end(), 0
-    if at < len(sentence):
-        pieces.append(sentence[at:])
-    return pieces
+#: In every run of so many words within a sentence at least one ends a piece.
+WINDOW = 10
+
+_ENDS = re.compile(rb"[.!?][ \t\r\x0b\x0c]+|\n")
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: A word's hash is the sum of its bytes' numbers, each times the number of its place; white space counts nothing.
+_BYTES = np.where(_BLANK, 0, np.arange(1, 257, dtype=np.uint64) ** 3 * 2654435761 % 4294967291).astype(np.uint32)
+_PLACES = np.cumprod(np.full(64, 2246822519, np.uint32), dtype=np.uint32)
+
+
+def _cuts(raw: bytes, ends: np.ndarray) -> np.ndarray:
+    """Offsets after the last smallest hash of every ``WINDOW`` words that lie between two ``ends``."""
+    text = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[text]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    n = len(starts)
+    if n < WINDOW:
+        return starts[:0]
+    sentence = np.searchsorted(ends, starts, "right")
+    windows = np.flatnonzero(sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :])
+    if not len(windows):
+        return windows
+    place = np.arange(starts[0], len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
+    hashes = np.add.reduceat(_BYTES[text[starts[0] :]] * _PLACES[place & 63], starts - starts[0], dtype=np.uint32)
+    # Smallest hash first, then the last word: one number to compare.
+    order = (((hashes ^ (hashes >> 15)) * np.uint32(2654435761)).astype(np.int64) << 30) - np.arange(n)
+    least, wide = order, 1
+    while wide < WINDOW:
+        step = min(wide, WINDOW - wide)
+        least, wide = np.minimum(least[:-step], least[step:]), wide + step
+    last = np.unique(-least[windows] & 0x3FFFFFFF)
+    # The last word of a sentence ends a piece already.
+    last = last[last < n - 1]
+    return starts[last[sentence[last] == sentence[last + 1]] + 1]
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces of a text that join to it: its sentences, long ones in parts."""
-    pieces, at = [], 0
-    for end in [m.end() for m in _ENDS.finditer(text)] + [len(text)]:
-        sentence = text[at:end]
-        at = end
-        if len(sentence) > 2 * LONGEST and len(sentence.split()) > LONGEST:
-            pieces += _cut(sentence)
-        elif sentence:
-            pieces.append(sentence)
-    return pieces
+    """Pieces of a text that join to it: its sentences, those of ``WINDOW`` words or more in parts."""
+    raw = text.encode("utf-8", "surrogatepass")
+    ends = [m.end() for m in _ENDS.finditer(raw)]
+    if raw and (not ends or ends[-1] < len(raw)):
+        ends.append(len(raw))
+    if len(raw) >= 2 * WINDOW - 1:
+        ends = np.union1d(ends, _cuts(raw, np.array(ends))).tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in pairwise([0, *ends])]
 
 
 def spans(pieces: list[str], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -98,72 +121,80 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def span_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, start, n, span): a row for each span."""
+def cut_texts(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, n_sentences, starts, ns, spans): a row for each text that is not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc_id, text, text_hash in zip(ids, batch.column(1), hashes, strict=True):
-                t = text.as_py()
-                for start, n, body in spans(sentences(t), min_sentences, min_words) if t else ():
-                    for column, value in zip(out, (doc_id, text_hash, start, n, _signed(digest(body))), strict=True):
+                if t := text.as_py():
+                    pieces = sentences(t)
+                    found = spans(pieces, min_sentences, min_words)
+                    real = sum(not p.isspace() for p in pieces)
+                    values = [s for s, _, _ in found], [n for _, n, _ in found], [_signed(digest(body)) for _, _, body in found]
+                    for column, value in zip(out, (doc_id, text_hash, real, *values), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "start", "n", "span"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_sentences", "starts", "ns", "spans"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash int, start int, n int, span long")
+    return slim.mapInArrow(run, "doc_id long, text_hash int, n_sentences long, starts array<int>, ns array<int>, spans array<long>")
 
 
 def covered_sentences(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:
-    """(doc_id, text_hash, spans): the later occurrences of repeated spans in each text, as array<struct<start, n>>."""
-    rows = span_rows(docs, min_sentences, min_words)
+    """(doc_id, text_hash, n_sentences, spans): the later occurrences of repeated spans in each text, as array<struct<start, n>>."""
+    # Cutting is the costly part, so it is done once.
+    cut = stored(cut_texts(docs, min_sentences, min_words), "cut")
+    rows = cut.select("doc_id", "text_hash", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("ns").alias("n"), F.col("spans").alias("span"))))
+    rows = rows.toDF("doc_id", "text_hash", "start", "n", "span")
     # Nulls come first in Spark's order of structs; rows without doc_id are to come last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
-    first = rows.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    first = rows.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     firsts = first.select("span", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.start").alias("s"))
     # As a table of its own both sides of the join are shuffled for it alone, so a hot span's partition can be split.
     firsts = stored(firsts, "spans")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("start") == F.col("s"))
     later = rows.join(firsts, "span").where(~same)
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    marks = later.select("doc_id", "text_hash", F.struct("start", "n").alias("mark"), F.lit(0).cast("long").alias("n_sentences"))
+    counts = cut.select("doc_id", "text_hash", F.lit(None).cast("struct<start: int, n: int>").alias("mark"), "n_sentences")
+    both = marks.unionByName(counts).groupBy("doc_id", "text_hash")
+    return both.agg(F.max("n_sentences").alias("n_sentences"), F.collect_set("mark").alias("spans"))
 
 
 def _strip(rows: DataFrame) -> DataFrame:
-    """``rows`` (..., text, spans) with the spans' sentences removed, ``n_sentences`` and ``n_removed`` at the end."""
-    kept = [c for c in rows.columns if c != "_wm_spans"]
+    """``rows`` (..., text, spans, n_sentences) with the spans' sentences removed, ``n_sentences`` and ``n_removed`` at the end."""
+    kept = [c for c in rows.columns if c not in ("_wm_spans", "_wm_total")]
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, gone = [], [], []
+            texts, gone = [], []
             marked = batch.column(len(kept))
             for text, marks in zip(batch.column(at), marked, strict=True):
                 t, found = text.as_py(), marks.as_py()
-                pieces = sentences(t) if t else []
-                real = {i for i, p in enumerate(pieces) if not p.isspace()}
+                pieces = sentences(t) if found else []
                 drop = {i for m in found or () for i in range(m["start"], m["start"] + m["n"])}
                 texts.append("".join(p for i, p in enumerate(pieces) if i not in drop) if drop else t)
-                total.append(len(real))
-                gone.append(len(real & drop))
+                gone.append(sum(not pieces[i].isspace() for i in drop))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
-            counts = [pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+            counts = [batch.column(len(kept) + 1), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *counts], [*kept, "n_sentences", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_wm_spans")
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans").mapInArrow(run, f"{schema}, n_sentences long, n_removed long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans", "_wm_total").mapInArrow(run, f"{schema}, n_sentences long, n_removed long")
 
 
 def without_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:
     """``docs`` with cleaned ``text``, ``n_sentences`` and ``n_removed`` (sentences)."""
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    found = covered_sentences(docs, min_sentences, min_words).withColumnsRenamed({"doc_id": "_wm_id", "text_hash": "_wm_of", "spans": "_wm_spans"})
+    found = covered_sentences(docs, min_sentences, min_words)
+    found = found.withColumnsRenamed({"doc_id": "_wm_id", "text_hash": "_wm_of", "spans": "_wm_spans", "n_sentences": "_wm_total"})
     left = docs.select(*[F.col(f"`{c}`") for c in kept])
     joined = left.join(found, left["doc_id"].eqNullSafe(found["_wm_id"]) & (F.hash(left["text"]) == found["_wm_of"]), "left")
-    return _strip(joined.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans"))
+    return _strip(joined.select(*[F.col(f"`{c}`") for c in kept], "_wm_spans", F.coalesce("_wm_total", F.lit(0).cast("long")).alias("_wm_total")))

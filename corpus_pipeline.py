@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of which nothing is left go."""
-    cleaned = line_templates.without_recurring_lines(docs)
+    """Documents without recurring lines, short ones too; those of which nothing is left go."""
+    cleaned = line_templates.without_recurring_lines(docs, min_tokens=1)
     return _recounted(cleaned.where((F.col("n_dropped") == 0) | _has_words("text")))
 
 

@@ -40,3 +40,9 @@ def test_stages_take_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_short_recurring_lines_go(spark, docs_of):
+    rows = [(i, f"Les.\n\nand ornd\nown{'abc'[i]} words stand here") for i in range(3)]
+    found = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs_of(rows), "").collect()}
+    assert found == {0: rows[0][1], 1: "\nownb words stand here", 2: "\nownc words stand here"}

@@ -1,11 +1,13 @@
 """Byte-pair encoding and decoding by speculation and verification.
 
-A word is first cut greedily into the longest tokens of the vocabulary. That
-proposal equals the result of merging by rank exactly if every token is what
-its own characters merge to and no merge ever crosses the boundary of two
-neighbours, and the second condition needs pairs of neighbours only. All pairs
-of all proposals of a batch are tested together with array operations; words
-with a failing token or pair are merged exactly, with a heap of ranks.
+A word is first cut greedily into the longest tokens of the vocabulary (all new
+words of a batch in one pass of an Aho-Corasick automaton). That proposal equals
+the result of merging by rank exactly if every token is what its own characters
+merge to and no merge ever crosses the boundary of two neighbours, and the
+second condition needs pairs of neighbours only. All pairs of all proposals of a
+batch are tested together with array operations. Words with a failing token or
+pair are merged exactly: together, a merge of every such word at a time, and
+those of over ``_TOGETHER`` start symbols one by one, with a heap of ranks.
 
 The vocabulary file is read where the work is done (its path is a parameter).
 Normalisation is that of the file's own normalizer. Pieces between white space
@@ -34,7 +36,13 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+"
 #: Pieces and words that a worker remembers, and the longest that it does.
 _REMEMBERED, _LONGEST = 250_000, 48
-_ROWS = 256
+#: Words of up to so many start symbols are merged together.
+_TOGETHER = 64
+#: Added to a letter that ends a word, so that tokens with the end mark fit there only.
+_LAST = 0x1000
+_ROWS = 512
+#: Ids that are decoded at once: bounds the memory that a long text needs.
+_GATHERED = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -78,6 +86,28 @@ class Merges:
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(end)}
         self.final = {t[: -len(end)]: i for t, i in vocab.items() if t.endswith(end) and t != end}
         self.reach = max([len(t) for t in (*self.inner, *self.final)])
+        #: Ids of one-letter tokens by code point, without and with the end mark.
+        self.inner_ids, self.final_ids = np.full(0x400, -1, np.int64), np.full(0x400, -1, np.int64)
+        for table, known in ((self.inner_ids, self.inner), (self.final_ids, self.final)):
+            for token, i in known.items():
+                if len(token) == 1:
+                    table[ord(token)] = i
+        self.ends = np.zeros(size, bool)
+        self.ends[list(self.final.values())] = True
+        self._finder = None
+
+    def finder(self):
+        """The automaton over all tokens; the last letter of a final one is moved by ``_LAST``."""
+        if self._finder is None:
+            import ahocorasick
+
+            self._finder = ahocorasick.Automaton()
+            for token, i in self.inner.items():
+                self._finder.add_word(token, i)
+            for token, i in self.final.items():
+                self._finder.add_word(token[:-1] + chr(ord(token[-1]) + _LAST), i)
+            self._finder.make_automaton()
+        return self._finder
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id that each pair merges to; the size of the vocabulary where it does not."""
@@ -146,22 +176,95 @@ class Merges:
                     heapq.heappush(heap, (new, k))
         return [x for x in ids if x >= 0]
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], int]:
-        """The ids of each word, and how many words needed exact merging."""
-        proposals = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(proposals)), lengths)
-        wrong = np.zeros(len(proposals), bool)
+    def exact_together(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merging by rank, leftmost first, of many words: (ids, lengths) of start symbols to those of tokens.
+
+        A final symbol is never the left part of a merge, so no merge crosses
+        from one word to the next and the words can stand in one array.
+        """
+        result = np.full(len(ids), -1, np.int64)
+        counts = np.zeros(len(lengths), np.int64)
+        words, place = np.arange(len(lengths)), np.arange(len(ids))
+        rank = np.append(self._merged(ids[:-1], ids[1:]), self.size) if len(ids) else ids
+        while len(words):
+            starts = np.cumsum(lengths) - lengths
+            best = np.minimum.reduceat(rank, starts)
+            done = best == self.size
+            if done.any():
+                gone = np.repeat(done, lengths)
+                result[place[gone]] = ids[gone]
+                counts[words[done]] = lengths[done]
+                ids, rank, place = ids[~gone], rank[~gone], place[~gone]
+                words, lengths, best = words[~done], lengths[~done], best[~done]
+                if not len(words):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            owner = np.searchsorted(np.cumsum(lengths), hits, "right")
+            at = hits[np.r_[True, owner[1:] != owner[:-1]]]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank, place = ids[keep], rank[keep], place[keep]
+            lengths = lengths - 1
+            # Each word lost one symbol, so the merged ones moved by the number of words before.
+            at = at - np.arange(len(at))
+            touched = np.union1d(at, np.maximum(at - 1, 0))
+            after = np.minimum(touched + 1, len(ids) - 1)
+            rank[touched] = np.where(touched + 1 < len(ids), self._merged(ids[touched], ids[after]), self.size)
+        return result[result >= 0], counts
+
+    def encode_joined(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, number of ids of each word, words merged exactly) of words given as code points of their letters, one after the other."""
+        if not len(lengths):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        last = np.cumsum(lengths) - 1
+        marked = letters.astype("<u4")
+        marked[last] += _LAST
+        text = marked.tobytes().decode("utf-32-le")
+        flat = np.fromiter((i for _, i in self.finder().iter_long(text)), np.int64)
+        final = self.ends[flat]
+        if final.sum() != len(lengths):
+            raise ValueError("a word has letters that are no start symbols")
+        counts = np.diff(np.r_[-1, np.flatnonzero(final)])
+        owner = np.repeat(np.arange(len(lengths)), counts)
+        wrong = np.zeros(len(lengths), bool)
         wrong[owner[~self.sound[flat]]] = True
-        inside = np.flatnonzero(owner[1:] == owner[:-1])
-        a, b = flat[inside], flat[inside + 1]
-        pairs, at = np.unique(a * self.size + b, return_inverse=True)
+        inside = np.flatnonzero(~final)
+        pairs, at = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         apart = self._apart(pairs // self.size, pairs % self.size, np.full(len(pairs), self.size, np.int64))
         wrong[owner[inside[~apart[at]]]] = True
-        for i in np.flatnonzero(wrong).tolist():
-            proposals[i] = self.exact(words[i])
-        return proposals, int(wrong.sum())
+        if not wrong.any():
+            return flat, counts, 0
+        # Failing words are merged from their letters; the results take the places of the proposals.
+        found = dict.fromkeys(np.flatnonzero(wrong & (lengths > _TOGETHER)).tolist())
+        for i in found:
+            found[i] = np.array(self.exact("".join(map(chr, letters[last[i] + 1 - lengths[i] : last[i] + 1]))), np.int64)
+        short = np.flatnonzero(wrong & (lengths <= _TOGETHER))
+        spread = np.repeat(wrong & (lengths <= _TOGETHER), lengths)
+        ids = self.inner_ids[letters[spread]]
+        tails = np.cumsum(lengths[short]) - 1
+        ids[tails] = self.final_ids[letters[last[short]]]
+        merged, merged_counts = self.exact_together(ids, lengths[short])
+        new_counts = counts.copy()
+        new_counts[short] = merged_counts
+        for i, x in found.items():
+            new_counts[i] = len(x)
+        out = np.empty(int(new_counts.sum()), np.int64)
+        out[np.repeat(~wrong, new_counts)] = flat[~wrong[owner]]
+        is_short = np.zeros(len(lengths), bool)
+        is_short[short] = True
+        out[np.repeat(is_short, new_counts)] = merged
+        starts = np.cumsum(new_counts) - new_counts
+        for i, x in found.items():
+            out[starts[i] : starts[i] + len(x)] = x
+        return out, new_counts, int(wrong.sum())
+
+    def encode(self, words: list[str]) -> tuple[list[list[int]], int]:
+        """The ids of each word, and how many words needed exact merging."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        flat, counts, exact = self.encode_joined(letters, np.fromiter(map(len, words), np.int64, len(words)))
+        stops = np.cumsum(counts).tolist()
+        return [flat[b - c : b].tolist() for b, c in zip(stops, counts.tolist(), strict=True)], exact
 
 
 class WordTokenizer:
@@ -179,21 +282,33 @@ class WordTokenizer:
         self.merges = Merges(model["model"]["vocab"], map(tuple, model["model"]["merges"]))
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.pattern = regex.compile(_WORD)
-        self.letters = byte_letters()
+        self.pattern = regex.compile(rf"\n|{_WORD}")
+        letters = byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(letters)}
+        #: The code point of each byte's letter.
+        self.letters = np.array([ord(c) for c in letters], "<u4")
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.merged_exactly = 0
 
-    def _words_of(self, plain: str) -> list[str]:
-        """The words of a normalised piece, written in byte letters."""
-        if plain.isascii() and plain.isprintable():
-            return [plain] if plain.isalpha() else self.pattern.findall(plain)
-        if max(plain) < "ɐ":
-            letters = self.letters
-            return ["".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(plain)]
+    def _words_of(self, plain: list[str]) -> list[list[str]]:
+        """The words of each normalised piece; those of all pieces that need cutting are found in one pass."""
+        found: list[list[str]] = [[p] if p.isalpha() and (p.isascii() or max(p) < "ɐ") else [] for p in plain]
+        rest = [i for i, p in enumerate(plain) if p and not found[i]]
+        known = [i for i in rest if plain[i].isascii() or max(plain[i]) < "ɐ"]
+        # A line break is in no word, so it can stand between the pieces.
+        at = iter(known)
+        words = found[next(at)] if known else []
+        for w in self.pattern.findall("\n".join([plain[i].replace("\n", " ") for i in known])):
+            if w == "\n":
+                words = found[next(at)]
+            else:
+                words.append(w)
         # Newer scripts: the library's own tables say what is a letter.
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        byte_of = self.byte_of
+        for i in set(rest).difference(known):
+            found[i] = [bytes([byte_of[c] for c in w]).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain[i])]
+        return found
 
     def _normalised(self, pieces: list[str]) -> list[str]:
         """Each piece normalised; together, where the white space between them surely stays as it is."""
@@ -206,12 +321,19 @@ class WordTokenizer:
         return [known[p] if p in known else normalise(p) for p in pieces]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        split = [self._words_of(p) if p else [] for p in self._normalised(pieces)]
+        split = self._words_of(self._normalised(pieces))
         known = self.words
         new = list({w for ws in split for w in ws}.difference(known))
-        ids, exact = self.merges.encode(new)
-        self.merged_exactly += exact
-        fresh = {w: np.array(i, "<u4").tobytes() for w, i in zip(new, ids, strict=True)}
+        fresh: dict[str, bytes] = {}
+        if new:
+            # No word holds a line break: one between words, and one at the end, give their lengths.
+            raw = np.frombuffer(("\n".join(new) + "\n").encode(), np.uint8)
+            stops = np.flatnonzero(raw == 10)
+            lengths = np.diff(np.r_[-1, stops]) - 1
+            ids, counts, exact = self.merges.encode_joined(self.letters[raw[raw != 10]], lengths)
+            self.merged_exactly += exact
+            blob, to = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            fresh = {w: blob[a:b] for w, a, b in zip(new, [0, *to[:-1]], to, strict=True)}
         out = {p: b"".join([fresh.get(w) or known[w] for w in ws]) for p, ws in zip(pieces, split, strict=True)}
         known.update((w, i) for w, i in fresh.items() if len(w) <= _LONGEST)
         return out
@@ -248,11 +370,25 @@ class WordDecoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
-        self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        # Every name with a space after it, one after the other, and where each begins.
+        parts = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The tokens' names in UTF-8, joined by spaces, as the file sets no decoder."""
+        at = np.frombuffer(ids, "<u4")
+        out = [self._gather(at[i : i + _GATHERED]) for i in range(0, len(at), _GATHERED)]
+        return b"".join(out)[:-1]
+
+    def _gather(self, at: np.ndarray) -> bytes:
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
     def decode(self, ids: bytes) -> str:
-        """The tokens, joined by spaces, as the file sets no decoder."""
-        return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
+        return self.decode_bytes(ids).decode()
 
 
 _LOADED: dict[tuple[type, str], WordTokenizer | WordDecoder] = {}

@@ -1,24 +1,32 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's path in the tree is its token count and its first ``depth`` tokens, in
-which tokens that hold a digit are variable. At the leaf, a line shorter than
-``short`` tokens is its own template. A longer one belongs to two templates:
-each fixes the leading tokens and every second token of the rest and leaves the
-others variable, so lines that differ in one field, or in several fields of one
-parity, share a template of which more than half is constant. A template that
-occurs in at least ``min_docs`` documents recurs; its lines stay in the first
-document (smallest doc_id) and are dropped from the others.
-
-Everything is DataFrame expressions: templates are counted with map-side
-partial aggregation, so a line that a third of all documents share reaches the
-reducers once per task, and the join that marks lines is a plain equi-join
-whose skewed partitions adaptive execution splits.
+A line's path in the tree is its token count and its first ``depth`` tokens.
+Tokens that hold a digit are variable everywhere. At the leaf, every other token
+is weighed by how many documents hold a line of the leaf with that token at that
+place. A line keeps its best supported tokens, as many as make ``percent`` per
+cent of its tokens without digits (the leading ones included), and all that are
+as well supported as the least of these; the others turn variable. Two lines of
+one template thus agree in at least that share of their tokens, whatever places
+vary. A line whose tokens are not supported that far is its own template, and so
+is one without any constant token. A template that occurs in at least
+``min_docs`` documents recurs: its lines stay in the first document (smallest
+doc_id) and are dropped from the others. Lines of one or two tokens follow the
+same rule.
+
+Everything is DataFrame expressions. Leaves in fewer documents than ``min_docs``
+go first, then equal lines of a leaf are folded into one, so the places of a
+line that a third of all documents share are counted once. Counts are made with
+map-side partial aggregation; the joins are plain equi-joins with stored tables,
+whose skewed partitions adaptive execution splits. Only one line's tokens are
+ever gathered in one value.
 
 Edge cases: null and blank texts have no lines and stay as they are; blank lines
-are never dropped; rows that share a doc_id count as one document, and each
-loses its own recurring lines; rows without doc_id count together as one
-document that comes after all others. Other columns pass unchanged;
-``n_lines``/``n_dropped`` replace input columns of that name.
+are never dropped; lines and tokens may have any length; rows that share a doc_id
+count as one document, and each loses its own recurring lines; rows without
+doc_id count together as one document that comes after all others; ties between
+supports keep all tied tokens; an empty table gives an empty one. Other columns
+pass unchanged, whatever their names; ``n_lines``/``n_dropped`` replace input
+columns of that name.
 """
 
 from __future__ import annotations
@@ -26,58 +34,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import stored, without_positions
+from .support import discard, stored, without_positions
 
 VARIABLE = "<*>"
+_BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Columns that tell a row of documents: its id and 128 bits of a hash of its text.
+_ROW = ("doc_id", "k1", "k2")
 
 
-def _tokens(line: Column) -> Column:
-    tokens = F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+"), "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
+def _keys(text: str) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
 
 
-def template_rows(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3) -> DataFrame:
-    """(doc_id, _wm_hash, pos, template): one or two template hashes for each line.
+def _masked(token: Column) -> Column:
+    return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
-    Lines of fewer than ``min_tokens`` tokens get none: they coincide by chance.
-    """
 
-    def half(parity: int) -> Column:
-        picked = F.filter("tokens", lambda x, i: (i < depth) | (i % 2 == parity))
-        return F.xxhash64(F.size("tokens"), F.lit(parity), picked)
+def parsed_lines(docs: DataFrame, depth: int = 2) -> DataFrame:
+    """(doc_id, k1, k2, pos, leaf, whole, line) of every line that is not blank.
+
+    line: its tokens between single spaces; leaf: a hash of its path in the tree; whole: one of the line.
+    """
+    k1, k2 = _keys("text")
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    plain = F.trim(F.regexp_replace("raw", _BLANKS, " "))
+    lines = rows.where(F.col("raw").rlike("[^\\x20\\x09-\\x0D]")).withColumn("line", plain)
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lead = F.substring_index("line", " ", depth)
+    path = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(lead)
+    return lines.select(*_ROW, "pos", F.xxhash64(n, path).alias("leaf"), F.xxhash64("line").alias("whole"), "line")
 
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_wm_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    parsed = lines.select("doc_id", "_wm_hash", "pos", _tokens(F.col("line")).alias("tokens"))
-    n = F.size("tokens")
-    whole = F.array(F.xxhash64(n, F.lit(2), F.col("tokens")))
-    # A filter on the tokens would be pushed below their projection and split every line twice; an empty array drops the line too.
-    found = F.when(n < min_tokens, F.array().cast("array<long>")).when(n < short, whole).otherwise(F.array(half(0), half(1)))
-    return parsed.select("doc_id", "_wm_hash", "pos", F.explode(found).alias("template"))
 
+def _in_documents(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, docs, first_doc): in how many documents a key stands, and the first of them."""
+    pairs = rows.groupBy(*keys, "doc_id").agg(F.lit(1).alias("_one"))
+    return pairs.groupBy(*keys).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
-def recurring_templates(rows: DataFrame, min_docs: int = 3) -> DataFrame:
-    """(template, first_doc) of the templates that at least ``min_docs`` documents hold."""
-    pairs = rows.groupBy("template", "doc_id").agg(F.lit(1).alias("_one"))
-    counted = pairs.groupBy("template").agg(F.count("*").alias("_docs"), F.min("doc_id").alias("first_doc"))
-    return counted.where(F.col("_docs") >= min_docs).select("template", "first_doc")
 
+def line_templates(lines: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
+    """(leaf, whole, template, constants) of the lines whose leaf stands in enough documents.
 
-def dropped_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
-    """(doc_id, _wm_hash, drop): ascending positions of the lines that go."""
-    rows = stored(template_rows(docs, depth, short, min_tokens), "lines")
+    template: a hash; constants: array<struct<pos, token>> of what is not variable after the leading
+    tokens, null for a line that is its own template.
+    """
+    leaves = stored(_in_documents(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    alike = lines.join(leaves, "leaf")
+    # One row for each distinct line of a leaf, with the number of documents that hold it.
+    distinct = stored(_in_documents(alike, "leaf", "whole", "line").drop("first_doc"), "distinct")
+    support = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"))
+    tokens = F.split("line", " ")
+    n_words = F.size(F.filter(tokens, lambda t: ~t.rlike("[0-9]")))
+    n_lead = F.size(F.filter(F.slice(tokens, 1, depth), lambda t: ~t.rlike("[0-9]")))
+    sized = distinct.select("leaf", "whole", n_words.alias("words"), n_lead.alias("lead"))
+    places = distinct.select("leaf", "whole", "docs", F.posexplode(tokens).alias("pos", "token"))
+    places = places.where((F.col("pos") >= depth) & ~F.col("token").rlike("[0-9]"))
+    counted = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("weight")).where(F.col("weight") >= min_docs)
+    known = places.select("leaf", "whole", "pos", "token").join(stored(counted, "places"), ["leaf", "pos", "token"])
+    held = known.groupBy("leaf", "whole").agg(F.collect_list(F.struct("weight", "pos", "token")).alias("held"))
+    # Constants that a line must find after its path.
+    needed = F.greatest(F.lit(1), F.floor((F.lit(percent) * F.col("words") + 99) / 100)).cast("int") - F.col("lead")
+    ranked = F.sort_array(F.transform(F.coalesce("held", F.array().cast("array<struct<weight:bigint,pos:int,token:string>>")), lambda h: h["weight"]), False)
+    least = F.when(F.col("needed") <= 0, F.col("leaf_docs")).otherwise(F.get(ranked, F.col("needed") - 1))
+    joined = sized.join(held, ["leaf", "whole"], "left").join(stored(support, "support"), "leaf").withColumn("needed", needed)
+    chosen = F.filter(F.coalesce("held", F.array().cast("array<struct<weight:bigint,pos:int,token:string>>")), lambda h: h["weight"] >= F.col("least"))
+    constants = F.sort_array(F.transform(chosen, lambda h: F.struct(h["pos"].alias("pos"), h["token"].alias("token"))))
+    found = joined.withColumn("least", least).withColumn("constants", F.when(F.col("least").isNotNull(), constants))
+    some = F.col("constants").isNotNull() & (F.size("constants") + F.col("lead") > 0)
+    template = F.when(some, F.xxhash64("leaf", "constants")).otherwise(F.xxhash64("leaf", F.lit("line"), "whole"))
+    return found.select("leaf", "whole", template.alias("template"), F.when(some, F.col("constants")).alias("constants"))
+
+
+def dropped_lines(docs: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
+    """(doc_id, k1, k2, drop): ascending positions of the lines that go, by id and hashes of the text."""
+    lines = stored(parsed_lines(docs, depth), "lines")
+    templates = stored(line_templates(lines, depth, percent, min_docs).drop("constants"), "templates")
+    narrow = lines.select(*_ROW, "pos", "leaf", "whole")
+    placed = stored(narrow.join(templates, ["leaf", "whole"]).select(*_ROW, "pos", "template"), "placed")
     # As a table of its own both sides of the join are shuffled for it alone, so a hot template's partition can be split.
-    recurring = stored(recurring_templates(rows, min_docs), "templates")
-    hits = rows.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    return hits.groupBy("doc_id", "_wm_hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    recurring = stored(_in_documents(placed, "template").where(F.col("docs") >= min_docs).select("template", "first_doc"), "recurring")
+    hits = placed.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = stored(hits.groupBy(*_ROW).agg(F.sort_array(F.collect_set("pos")).alias("drop")), "drops")
+    for table in (lines, templates, placed, recurring):
+        discard(table)
+    return found
 
 
-def without_recurring_lines(docs: DataFrame, depth: int = 3, short: int = 8, min_tokens: int = 3, min_docs: int = 3) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
     """``docs`` with cleaned ``text`` and the columns ``n_lines`` and ``n_dropped`` (non-blank lines)."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = dropped_lines(docs, depth, short, min_tokens, min_docs).withColumnsRenamed({"doc_id": "_wm_id", "_wm_hash": "_wm_of", "drop": "_wm_drop"})
-    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias("_wm_hash"))
-    joined = left.join(drops, F.col("doc_id").eqNullSafe(F.col("_wm_id")) & (F.col("_wm_hash") == F.col("_wm_of")), "left")
+    drops = dropped_lines(docs.select("doc_id", "text"), depth, percent, min_docs).toDF("_wm_id", "_wm_a", "_wm_b", "_wm_drop")
+    k1, k2 = _keys("text")
+    left = docs.select(*[F.col(f"`{c}`") for c in keep], k1.alias("_wm_k1"), k2.alias("_wm_k2"))
+    same = F.col("doc_id").eqNullSafe(F.col("_wm_id")) & (F.col("_wm_k1") == F.col("_wm_a")) & (F.col("_wm_k2") == F.col("_wm_b"))
+    joined = left.join(drops, same, "left")
     lines = F.split("text", "\n")
     cleaned = F.when(F.col("_wm_drop").isNull(), F.col("text")).otherwise(F.array_join(without_positions(lines, F.col("_wm_drop")), "\n"))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))

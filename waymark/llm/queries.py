@@ -111,28 +111,54 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.without_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+#: A token with a digit is shown as the unit separator, which no token of the tables holds.
 OP7_SQL = r"""
 WITH lines AS (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos
     FROM documents WHERE text IS NOT NULL
 ), parsed AS (
-    SELECT doc_id, pos, line,
-        list_filter(string_split(regexp_replace(translate(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '),
-            '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> '') AS tokens
+    SELECT doc_id, pos, raw,
+        list_filter(string_split(translate(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda t: t <> '') AS tokens
     FROM lines
-), leaves AS (
-    SELECT doc_id, pos, unnest(CASE WHEN len(tokens) < 3 THEN []
-        WHEN len(tokens) < 8 THEN ['2' || chr(31) || array_to_string(tokens, ' ')]
-        ELSE ['0' || chr(31) || len(tokens) || chr(31) || array_to_string(list_filter(tokens, lambda t, i: i <= 3 OR (i - 1) % 2 = 0), ' '),
-              '1' || chr(31) || len(tokens) || chr(31) || array_to_string(list_filter(tokens, lambda t, i: i <= 3 OR (i - 1) % 2 = 1), ' ')] END) AS template
+), shown AS (
+    SELECT doc_id, pos, array_to_string(tokens, ' ') AS line,
+        list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN chr(31) ELSE t END) AS masked
     FROM parsed WHERE len(tokens) > 0
+), leafed AS (
+    SELECT *, len(masked) || ' ' || array_to_string(masked[1:2], ' ') AS leaf FROM shown
+), leaves AS (
+    SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3
+), alike AS (
+    SELECT leaf, line, any_value(masked) AS masked, count(DISTINCT doc_id) AS docs FROM leafed SEMI JOIN leaves USING (leaf) GROUP BY leaf, line
+), support AS (
+    SELECT leaf, sum(docs) AS leaf_docs FROM alike GROUP BY leaf
+), places AS (
+    SELECT * FROM (SELECT leaf, line, docs, unnest(masked) AS token, unnest(range(1, len(masked) + 1)) AS p FROM alike) WHERE p > 2 AND token <> chr(31)
+), weights AS (
+    SELECT leaf, p, token, sum(docs) AS weight FROM places GROUP BY leaf, p, token HAVING sum(docs) >= 3
+), supported AS (
+    SELECT leaf, line, list({'p': p, 't': token, 'w': weight} ORDER BY p) AS held FROM places JOIN weights USING (leaf, p, token) GROUP BY leaf, line
+), needs AS (
+    SELECT leaf, line, coalesce(held, []) AS held, leaf_docs, len(list_filter(masked[1:2], lambda t: t <> chr(31))) AS lead,
+        greatest(1, (70 * len(list_filter(masked, lambda t: t <> chr(31))) + 99) // 100) AS needed
+    FROM alike JOIN support USING (leaf) LEFT JOIN supported USING (leaf, line)
+), bounds AS (
+    SELECT *, CASE WHEN needed <= lead THEN leaf_docs ELSE list_reverse_sort(list_transform(held, lambda h: h.w))[needed - lead] END AS least FROM needs
+), constants AS (
+    SELECT *, list_transform(list_filter(held, lambda h: h.w >= least), lambda h: h.p || ' ' || h.t) AS kept FROM bounds
+), templates AS (
+    SELECT leaf, line, CASE WHEN least IS NULL OR len(kept) + lead = 0 THEN 'line ' || line
+        ELSE 'template ' || leaf || chr(30) || array_to_string(kept, chr(30)) END AS template
+    FROM constants
+), placed AS (
+    SELECT doc_id, pos, template FROM leafed JOIN templates USING (leaf, line)
 ), recurring AS (
-    SELECT template, min(doc_id) AS first_doc FROM leaves GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+    SELECT template, min(doc_id) AS first_doc FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3
 ), gone AS (
-    SELECT DISTINCT doc_id, pos FROM leaves JOIN recurring USING (template) WHERE doc_id <> first_doc
+    SELECT DISTINCT doc_id, pos FROM placed JOIN recurring USING (template) WHERE doc_id <> first_doc
 ), rebuilt AS (
     SELECT p.doc_id, count(*) FILTER (len(tokens) > 0) AS n_lines, count(g.pos) AS n_dropped,
-        coalesce(string_agg(line, chr(10) ORDER BY p.pos) FILTER (g.pos IS NULL), '') AS text
+        coalesce(string_agg(raw, chr(10) ORDER BY p.pos) FILTER (g.pos IS NULL), '') AS text
     FROM parsed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, r.text

@@ -2,19 +2,25 @@
 
 Text statistics are DataFrame expressions. A bounded sample of labelled rows
 goes to the driver, where rules (conjunctions of thresholds on the statistics)
-are grown, pruned and ordered; the list is applied to all rows as one
-conditional expression.
-
-Edge cases: a null text has no words, zero statistics and fails the base rules;
-repeated rows get equal verdicts; a document labelled more than once counts
-with its highest label; without labels (or with one class only) the list is
-empty and rejects nothing. Input columns that bear the name of a statistic are
-replaced in the output of :func:`with_statistics`.
+are grown on one part of it, pruned on another and put in order; a third part
+only measures the list. The list is applied to all rows as one conditional
+expression.
+
+Edge cases: a null or empty text has no words, zero statistics and fails the
+base rules; texts of any length are measured whole, in memory in proportion to
+one text; repeated rows get equal verdicts; a document labelled more than once
+counts with its highest label, one whose doc_id repeats counts once (the row
+with the greatest statistics); between conditions of equal gain the one of more
+precision over all rows wins, then the last by (statistic, threshold); without labels (or with one class
+only) the list is empty and rejects nothing; an empty table gives an empty one.
+Input columns that bear the name of a result are replaced; all others pass.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import bisect
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +140,8 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
+    """``precision`` (smoothed) and ``covered`` are of the rows that taught it."""
+
     conditions: tuple[Condition, ...]
     precision: float
     covered: int
@@ -144,25 +152,98 @@ class Rule:
 
 @dataclass(frozen=True)
 class DecisionList:
-    """Ordered rejecting rules; a row that no rule fits is kept."""
+    """Ordered rejecting rules; a row that no rule fits is kept.
+
+    held_out: (rejected, of these bad, rows, bad rows) of labelled rows that taught nothing.
+    """
 
     rules: tuple[Rule, ...] = field(default=())
+    held_out: tuple[int, int, int, int] = (0, 0, 0, 0)
 
     def sql(self) -> str:
-        """The verdict (true: keep) over the columns STATISTICS."""
+        """The number of the first rule that fits (from 1) over the columns STATISTICS; null where none does."""
         if not self.rules:
-            return "true"
-        return "CASE " + " ".join(f"WHEN {r.sql()} THEN false" for r in self.rules) + " ELSE true END"
+            return "CAST(NULL AS INT)"
+        return "CASE " + " ".join(f"WHEN {r.sql()} THEN {i}" for i, r in enumerate(self.rules, 1)) + " END"
 
-    def keeps(self) -> Column:
+    def rule(self) -> Column:
         return F.expr(self.sql())
 
+    def rejects(self, values: dict[str, float]) -> bool:
+        """The verdict over FEATURES given as numbers."""
+        return any(all((values[c.feature] > c.threshold) == c.above for c in r.conditions) for r in self.rules)
+
+
+class Covering:
+    """Grows and prunes rules over ``(values, bad)`` rows; sets of rows are integers used as bit sets."""
+
+    def __init__(self, rows: list[tuple[tuple[float, ...], bool]], names: tuple[str, ...], cuts: int) -> None:
+        self.rows = rows = sorted(rows)
+        n = len(rows)
+        self.all = (1 << n) - 1
+        self.bad = sum(1 << i for i, (_, b) in enumerate(rows) if b)
+        # Rows are sorted by value, so every third one is a fair share of all values.
+        self.growing = sum(1 << i for i in range(n) if i % 3)
+        self.pruning = self.all & ~self.growing
+        self.table: list[tuple[Condition, int]] = []
+        for k, name in enumerate(names):
+            values = sorted({v[k] for v, _ in rows})
+            order = sorted(range(n), key=lambda i: rows[i][0][k])
+            # Quantile cuts follow the bulk; evenly spaced cuts over the distinct values reach the tails.
+            picks = {rows[order[(n - 1) * j // cuts]][0][k] for j in range(cuts)} if n else set()
+            picks |= {values[(len(values) - 1) * j // cuts] for j in range(cuts)} if values else set()
+            picks.discard(values[-1] if values else None)
+            below, at = 0, 0
+            for cut in sorted(picks):
+                while at < n and rows[order[at]][0][k] <= cut:
+                    below |= 1 << order[at]
+                    at += 1
+                edge = (cut + values[_after(values, cut)]) / 2
+                self.table.append((Condition(name, False, edge), below))
+                self.table.append((Condition(name, True, edge), self.all & ~below))
+
+    def gain(self, before: int, after: int) -> float:
+        """Information gained on the growing rows: bad rows kept, times the bits by which they stand out more."""
+        p0, n0 = (before & self.bad & self.growing).bit_count(), (before & self.growing).bit_count()
+        p1, n1 = (after & self.bad & self.growing).bit_count(), (after & self.growing).bit_count()
+        return 0.0 if not p1 else p1 * (math.log2(p1 / n1) - math.log2(p0 / n0))
+
+    def covered(self, conditions: list[tuple[Condition, int]], among: int) -> int:
+        for _, mask in conditions:
+            among &= mask
+        return among
+
+    def worth(self, cover: int) -> float:
+        """Smoothed precision."""
+        return ((cover & self.bad).bit_count() + 0.5) / (cover.bit_count() + 1)
+
+    def grown(self, left: int, most: int) -> list[tuple[Condition, int]]:
+        """Conditions by gain until no good growing row is covered, no condition gains or there are ``most``."""
+        chosen: list[tuple[Condition, int]] = []
+        cover = left
+        while len(chosen) < most and cover & self.growing & ~self.bad:
+            options = ((self.gain(cover, cover & c[1]), self.worth(cover & c[1]), c) for c in self.table)
+            gain, _, best = max(options, key=lambda g: (g[0], g[1], g[2][0].feature, g[2][0].threshold), default=(0.0, 0.0, None))
+            if best is None or gain <= 0:
+                break
+            chosen.append(best)
+            cover &= best[1]
+        return chosen
+
+    def pruned(self, chosen: list[tuple[Condition, int]], left: int) -> list[tuple[Condition, int]]:
+        """Without the conditions, last ones first, whose absence costs no precision on the pruning rows."""
+        for c in reversed(list(chosen)):
+            rest = [x for x in chosen if x is not c]
+            if rest and self.worth(self.covered(rest, left & self.pruning)) >= self.worth(self.covered(chosen, left & self.pruning)):
+                chosen = rest
+        return chosen
+
 
 def learn(
     rows: list[tuple[tuple[float, ...], bool]],
     names: tuple[str, ...] = tuple(FEATURES),
     cuts: int = 48,
-    max_conditions: int = 3,
+    max_conditions: int = 4,
     max_rules: int = 12,
     min_precision: float = 0.95,
     max_error: float = 0.005,
@@ -170,94 +251,51 @@ def learn(
 ) -> DecisionList:
     """Sequential covering over ``(values, bad)`` rows.
 
-    Two thirds of the rows grow a rule (conditions by information gain), one
-    third prunes it (a condition goes if precision there does not fall). Where
-    a single condition is precise enough, the one that covers most is taken
-    before any conjunction. A rule is accepted if, over all remaining rows, its
-    smoothed precision reaches ``min_precision`` and at most ``max_error`` of
-    what it covers is good; its rows are then removed and the next rule is
-    grown. Sets of rows are integers used as bit sets.
+    Two thirds of the rows grow a rule, one third prunes it. The rule is
+    accepted if, over all remaining rows, its smoothed precision reaches
+    ``min_precision`` and at most ``max_error`` of what it covers is good; its
+    rows are then removed and the next rule is grown. Where pruning went too far
+    for that, the rule as it was grown is tried.
     """
-    rows = sorted(rows)
-    n = len(rows)
-    bad = sum(1 << i for i, (_, b) in enumerate(rows) if b)
-    everything = (1 << n) - 1
-    grow = sum(1 << i for i in range(n) if i % 3)
-    table: list[tuple[Condition, int]] = []
-    for k, name in enumerate(names):
-        values = sorted({v[k] for v, _ in rows})
-        order = sorted(range(n), key=lambda i: rows[i][0][k])
-        # Quantile cuts follow the bulk; evenly spaced cuts over the distinct values reach the tails.
-        picks = {rows[order[(n - 1) * j // cuts]][0][k] for j in range(cuts)} if n else set()
-        picks |= {values[(len(values) - 1) * j // cuts] for j in range(cuts)} if values else set()
-        picks.discard(values[-1] if values else None)
-        below, at = 0, 0
-        for cut in sorted(picks):
-            while at < n and rows[order[at]][0][k] <= cut:
-                below |= 1 << order[at]
-                at += 1
-            upper = values[_after(values, cut)]
-            edge = (cut + upper) / 2
-            table.append((Condition(name, False, edge), below))
-            table.append((Condition(name, True, edge), everything & ~below))
-
-    def gain(before: int, after: int) -> float:
-        import math
-
-        p0, n0 = (before & bad & grow).bit_count(), (before & grow).bit_count()
-        p1, n1 = (after & bad & grow).bit_count(), (after & grow).bit_count()
-        return 0.0 if not p1 else p1 * (math.log2(p1 / n1) - math.log2(p0 / n0))
-
-    def covered_by(conditions: list[tuple[Condition, int]], among: int) -> int:
-        for _, mask in conditions:
-            among &= mask
-        return among
-
-    def worth(cover: int) -> float:
-        return ((cover & bad).bit_count() + 0.5) / (cover.bit_count() + 1)
+    work = Covering(rows, names, cuts)
 
     def sound(cover: int) -> bool:
         n = cover.bit_count()
-        return n >= min_covered and worth(cover) >= min_precision and (cover & ~bad).bit_count() <= max_error * n
+        return n >= min_covered and work.worth(cover) >= min_precision and (cover & ~work.bad).bit_count() <= max_error * n
 
     rules: list[Rule] = []
-    left = everything
-    while len(rules) < max_rules and (left & bad & grow).bit_count() >= min_covered:
-        alone = [c for c in table if sound(left & c[1])]
-        if alone:
-            chosen = [max(alone, key=lambda c: ((left & c[1]).bit_count(), c[0].feature, c[0].threshold))]
-        else:
-            chosen, cover = [], left
-            while len(chosen) < max_conditions and cover & grow & ~bad:
-                best = max(table, key=lambda c: (gain(cover, cover & c[1]), c[0].feature, c[0].threshold), default=None)
-                if best is None or gain(cover, cover & best[1]) <= 0:
-                    break
-                chosen.append(best)
-                cover &= best[1]
-            for c in list(chosen):
-                rest = [x for x in chosen if x is not c]
-                if rest and worth(covered_by(rest, left & ~grow)) >= worth(covered_by(chosen, left & ~grow)):
-                    chosen = rest
-        cover = covered_by(chosen, left) if chosen else 0
-        if not sound(cover):
+    left = work.all
+    while len(rules) < max_rules and (left & work.bad & work.growing).bit_count() >= min_covered:
+        grown = work.grown(left, max_conditions)
+        tries = (work.pruned(grown, left), grown) if grown else ()
+        chosen = next((c for c in tries if sound(work.covered(c, left))), None)
+        if chosen is None:
             break
-        rules.append(Rule(tuple(c for c, _ in chosen), worth(cover), cover.bit_count()))
+        cover = work.covered(chosen, left)
+        rules.append(Rule(tuple(c for c, _ in chosen), work.worth(cover), cover.bit_count()))
         left &= ~cover
     return DecisionList(tuple(rules))
 
 
-def _after(values: list[float], cut: float) -> int:
-    import bisect
+def measured(found: DecisionList, rows: list[tuple[tuple[float, ...], bool]], names: tuple[str, ...] = tuple(FEATURES)) -> DecisionList:
+    """The list with its counts on rows that did not teach it."""
+    verdicts = [(found.rejects(dict(zip(names, v, strict=True))), bad) for v, bad in rows]
+    rejected = [bad for out, bad in verdicts if out]
+    return replace(found, held_out=(len(rejected), sum(rejected), len(rows), sum(bad for _, bad in rows)))
+
 
+def _after(values: list[float], cut: float) -> int:
     return min(bisect.bisect_right(values, cut), len(values) - 1)
 
 
-def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DecisionList:
+def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, held_out: int = 5) -> DecisionList:
     """A decision list from the documents that ``labels`` (doc_id, quality) covers.
 
     ``max_labelled`` bounds the sample of labelled rows: those whose doc_id has
-    the smallest hashes. Only that sample leaves the executors. Documents that
-    fail the base rules teach nothing, as they are rejected without the list.
+    the smallest hashes. Only that sample, a row for each doc_id, leaves the
+    executors. One in ``held_out`` of its rows, by another hash, measures the
+    list and does not teach it. Documents that fail the base rules teach
+    nothing, as they are rejected without the list.
     """
     sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -268,14 +306,17 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 12
     )
     # At most max_labelled pairs of a long and an int, whatever the input: small enough to broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    measured = with_statistics(chosen).where(~base_failed()).select(
-        *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], (F.col("_quality") == 0).alias("_bad")
-    )
-    rows = [(tuple(r[:-1]), r[-1]) for r in measured.collect()]
-    return learn(rows)
+    values = F.struct(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+    rows = with_statistics(chosen).where(~base_failed()).groupBy("doc_id").agg(F.max(values).alias("v"), F.max("_quality").alias("q"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(held_out)) == 0
+    taught, kept_back = [], []
+    for v, q, apart in rows.select("v", "q", part).collect():
+        (kept_back if apart else taught).append((tuple(v), q == 0))
+    return measured(learn(taught), kept_back)
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with STATISTICS, ``base_failed`` and ``kept``."""
-    failed = with_statistics(docs).withColumn("base_failed", base_failed())
-    return failed.withColumn("kept", ~F.col("base_failed") & rules.keeps())
+    """``docs`` with STATISTICS, ``base_failed``, ``rule`` (the number of the rule that rejects, or null) and ``kept``."""
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_failed", "rule", "kept")])
+    failed = with_statistics(plain).withColumns({"base_failed": base_failed(), "rule": rules.rule()})
+    return failed.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -98,7 +98,7 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.learn_from_labels(docs, table(spark, sf_dir, "labels"))
     judged = quality_rules.judged(docs.select("doc_id", "text"), rules)
     return judged.select(
-        "doc_id", "n_words", F.col("n_word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", F.col("n_word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
 
 

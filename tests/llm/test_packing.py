@@ -41,6 +41,44 @@ def test_plan_is_close_to_the_bound():
     assert sum(c for c, _ in groups) <= 1.006 * sum(k * c for k, c in lengths.items()) / 1024
 
 
+def pattern_sequences(histogram, capacity=1024):
+    """Sequences of the plan, and how many of them the fitted patterns give."""
+    groups = pk.plan(histogram, capacity)
+    fitted = sum(c for c, held in groups if len(held) <= 3 and capacity - sum(held) <= pk.MAX_FREE and held != (capacity,))
+    return sum(c for c, _ in groups), fitted
+
+
+def test_patterns_carry_most_sequences():
+    draw = np.random.default_rng(0)
+    lengths = Counter(np.minimum(draw.lognormal(5.5, 0.9, 40_000).astype(int) + 1, 1024).tolist())
+    bound = -(-sum(k * c for k, c in lengths.items()) // 1024)
+    total, fitted = pattern_sequences(lengths)
+    assert total <= 1.003 * bound
+    even = Counter(draw.integers(1, 1024, 60_000).tolist())
+    total, fitted = pattern_sequences(even)
+    assert fitted > 0.5 * total
+
+
+def test_patterns_beat_best_fit_where_it_can_be_beaten():
+    # 51 + 26 + 23 fills 100; best fit, longest first, puts 27 to 51, where 22 places stay free.
+    histogram = {51: 60, 27: 60, 26: 60, 23: 120}
+    best = sum(c for c, _ in pk.best_fit(dict(histogram), 100))
+    total, fitted = pattern_sequences(histogram, 100)
+    assert 90 <= total <= 100 < best and fitted >= 60
+
+
+def test_near_exact_patterns_come_after_exact_ones():
+    lengths = np.array([2, 5, 9])
+    assert pk.patterns(lengths, 10).tolist() == [[0, 5, 5]]
+    more = pk.patterns(lengths, 10, free=1).tolist()
+    assert more[0] == [0, 5, 5] and sorted(more[1:]) == [[0, 0, 9], [2, 2, 5]]
+    assert pk.patterns(lengths, 10, most=1, free=5).tolist() == [[0, 5, 5]]
+
+
+def test_both_libraries_merge_alike():
+    assert pk.tokenizer(PATH).alike
+
+
 def test_least_squares_fits_what_can_be_fitted():
     columns = pk.patterns(np.array([3, 4, 5, 8]), 8)
     assert sorted(map(tuple, columns.tolist())) == [(0, 0, 8), (0, 3, 5), (0, 4, 4)]

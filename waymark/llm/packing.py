@@ -2,20 +2,29 @@
 
 Documents become token ids plus an end id; only documents longer than the
 capacity are cut, the remainder first. The histogram of piece lengths (at most
-``capacity`` numbers) goes to the driver, where patterns of one to three lengths
-that fill a sequence exactly are enumerated, repeat counts are fitted to the
-histogram by non-negative least squares and rounded within it, and what is left
-is packed best-fit, longest first, on the histogram too. The plan says for each
-length which ranks go to which sequences. Pieces get their ranks by a count per
-length and salt, so pieces of one length, however many, are ranked in parts of
-bounded size.
+``capacity`` numbers) goes to the driver. There, patterns of one to three
+lengths are enumerated: those that fill a sequence exactly, then those that
+leave 1, 2, ... places free, level by level while there are fewer than
+``MAX_PATTERNS``. Their repeat counts are fitted to the histogram by
+non-negative least squares and rounded, the longest lengths first, with what a
+length is owed carried on from pattern to pattern. What is left is packed
+best-fit, longest first, on the histogram too; for that, some share of the
+fitted repeats is left away, short pieces with long ones, and the share that
+needs the fewest sequences is taken (among equals the largest). The plan says
+for each length which ranks go to which sequences. Pieces get their ranks by a
+count per length and salt, so pieces of one length, however many, are ranked in
+parts of bounded size.
 
 The plan's size depends on the capacity, not on the number of documents: there
-are fewer than capacity**2 / 12 patterns, and best fit adds at most a few groups
-for each length.
-
-Edge cases: a null text is an empty one: one piece that holds the end id;
-repeated rows are packed each for itself; no rows give no sequences.
+are fewer than capacity**2 / 12 exact patterns, and best fit adds at most a few
+groups for each length.
+
+Edge cases: a null or empty text is one piece that holds the end id; texts of
+any length are cut whole, a batch at a time; repeated rows are packed each for
+itself; pieces of equal length are ranked by doc_id, piece and checksum, and
+between equal ones any order gives the same result; rows without doc_id are
+packed like others; no rows give no sequences. Other columns are not used, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +45,10 @@ from .support import stored
 _ROWS = 256
 #: Pieces that a worker remembers, and the longest that it does.
 _REMEMBERED, _LONGEST = 700_000, 48
+#: Levels of near-exact patterns are added while there are fewer patterns, and up to so many free places.
+MAX_PATTERNS, MAX_FREE = 60_000, 4
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6)
 #: Fixed value: the pattern of byte-level vocabularies; every match is merged for itself.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -48,7 +61,11 @@ class ByteTokenizer:
     text where a space stands before white space or at the end, or that may hold
     a special token, goes to the library whole, as do long pieces and newer
     scripts; other pieces are merged by the faster of the two libraries, which
-    takes its ranks from the same file.
+    takes its ranks from the same file. That one joins any neighbours that make
+    up a token. Both give the same if every token is what merging its own bytes
+    gives: then neighbours that make up a token are those that its merge names,
+    as merges inside its bytes do not depend on what stands around them. This is
+    checked when the file is loaded; where it fails, all pieces go to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,6 +81,9 @@ class ByteTokenizer:
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        merge, special = self.library.model.tokenize, set(self.library.get_added_tokens_decoder())
+        vocab = {t: i for t, i in vocab.items() if i not in special}
+        self.alike = all([m.id for m in merge(t)] == [i] for t, i in vocab.items())
         ranks = {bytes([byte_of[c] for c in t]): i for t, i in vocab.items()}
         self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = re.compile(r" (?=\s|\Z)")
@@ -78,7 +98,7 @@ class ByteTokenizer:
         """Put the ids of new pieces (after ``lead``) into ``known``; those too long to keep are returned."""
         new = wanted.difference(known)
         merge = self.fast.encode_ordinary
-        plain = [p for p in new if len(p) <= _LONGEST and (p.isascii() or max(p) < "ɐ")]
+        plain = [p for p in new if self.alike and len(p) <= _LONGEST and (p.isascii() or max(p) < "ɐ")]
         known.update((p, array("I", merge(lead + p)).tobytes()) for p in plain)
         others = list(new.difference(plain))
         known.update(zip(others, self._library([lead + p for p in others]), strict=True))
@@ -150,19 +170,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, wi
     return slim.mapInArrow(run, schema)
 
 
-def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """All ascending triples of ``lengths`` that sum to the capacity; 0 stands for none."""
+def patterns(lengths: np.ndarray, capacity: int, most: int = MAX_PATTERNS, free: int = 0) -> np.ndarray:
+    """Ascending triples of ``lengths`` that sum to the capacity; 0 stands for none.
+
+    Then those that leave 1, 2, ... up to ``free`` places, each level whole, while there are fewer than ``most``.
+    """
     have = np.zeros(capacity + 1, bool)
     have[lengths] = True
     have[0] = True
     low, mid = np.meshgrid(np.flatnonzero(have), np.flatnonzero(have), indexing="ij")
-    top = capacity - low - mid
-    good = (low <= mid) & (mid <= top) & (top > 0)
-    good[good] = have[top[good]]
-    return np.stack([low[good], mid[good], top[good]], axis=1)
-
-
-def non_negative_least_squares(columns: np.ndarray, target: np.ndarray, weights: np.ndarray, rounds: int = 400) -> np.ndarray:
+    levels: list[np.ndarray] = []
+    for spare in range(free + 1):
+        top = capacity - spare - low - mid
+        good = (low <= mid) & (mid <= top) & (top > 0)
+        good[good] = have[top[good]]
+        levels.append(np.stack([low[good], mid[good], top[good]], axis=1))
+        if sum(map(len, levels)) >= most:
+            break
+    return np.concatenate(levels)
+
+
+def non_negative_least_squares(columns: np.ndarray, target: np.ndarray, weights: np.ndarray, rounds: int = 600) -> np.ndarray:
     """x >= 0 that minimises |W (A x - target)|, by accelerated projected gradients.
 
     A's column for a pattern counts its lengths; row 0 (no piece) does not count.
@@ -171,13 +199,16 @@ def non_negative_least_squares(columns: np.ndarray, target: np.ndarray, weights:
     squares = weights**2
     x = np.zeros(len(columns))
 
+    rows = [np.ascontiguousarray(columns[:, j]) for j in range(columns.shape[1])]
+
     def forward(v: np.ndarray) -> np.ndarray:
-        total = sum(np.bincount(columns[:, j], v, n) for j in range(columns.shape[1]))
+        total = sum(np.bincount(r, v, n) for r in rows)
         total[0] = 0
         return total
 
-    def back(r: np.ndarray) -> np.ndarray:
-        return (r * squares)[columns].sum(axis=1)
+    def back(gap: np.ndarray) -> np.ndarray:
+        weighed = gap * squares
+        return sum(weighed[r] for r in rows)
 
     probe = np.ones(len(columns))
     for _ in range(20):
@@ -231,47 +262,47 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int,
     return [group for groups in room.values() for group in groups]
 
 
-def _rounded(found: np.ndarray, x: np.ndarray, left: dict[int, int], least: float) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns with whole repeats of ``x``, then one more of those whose fraction is at least ``least``.
+def _rounded(found: np.ndarray, x: np.ndarray, left: dict[int, int]) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns with whole repeats near ``x``, within ``left``, which is reduced by what they use.
 
-    Repeats stay within ``left``, which is reduced by what they use.
+    By greatest length, longest first; the fractions of a length's patterns add up until one repeat is owed.
     """
     groups = []
-    whole = np.floor(x)
-    fraction = x - whole
-    for repeats, order in ((whole, np.lexsort((np.arange(len(x)), -x))), (fraction >= least, np.lexsort((np.arange(len(x)), -fraction)))):
-        for i in order[repeats[order] > 0].tolist():
-            held = tuple(int(k) for k in found[i] if k)
-            count = min(int(repeats[i]), *[left[k] // held.count(k) for k in held])
-            if count > 0:
-                groups.append((count, held))
-                for k in held:
-                    left[k] -= count
+    owed, top = 0.0, 0
+    used = np.flatnonzero(x > 1e-9)
+    for i in used[np.lexsort((used, -x[used], -found[used, 2]))].tolist():
+        held = tuple(int(k) for k in found[i] if k)
+        if held[-1] != top:
+            owed, top = 0.0, held[-1]
+        owed += float(x[i])
+        count = min(int(owed + 0.5), *[left[k] // held.count(k) for k in held])
+        if count > 0:
+            owed -= count
+            groups.append((count, held))
+            for k in held:
+                left[k] -= count
     return groups
 
 
 def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each): every piece of the histogram has one place.
-
-    Several roundings are tried and the one with the fewest sequences is taken. Those that use only a share
-    of the fitted repeats leave a rest of the same make-up, short pieces included, that best fit packs well.
-    """
+    """(number of sequences, lengths in each): every piece of the histogram has one place."""
     left = {k: int(c) for k, c in histogram.items() if c}
     full = left.pop(capacity, 0)
     groups = [(full, (capacity,))] if full else []
     if not left:
         return groups
-    found = patterns(np.array(sorted(left)), capacity)
+    found = patterns(np.array(sorted(left)), capacity, free=min(MAX_FREE, capacity // 64))
     target = np.zeros(capacity + 1)
     target[list(left)] = list(left.values())
     scale = target.max()
-    # Long pieces weigh more: short ones that are left over fill gaps, long ones leave some.
-    weights = np.arange(capacity + 1) / capacity
+    # Longer pieces weigh more, as they are harder to place.
+    weights = np.sqrt(np.arange(capacity + 1) / capacity)
     x = non_negative_least_squares(found, target / scale, weights) * scale if len(found) else np.zeros(0)
     tries = []
-    for share, least in ((1.0, 0.05), (1.0, 0.5), (1.0, 2.0), (0.97, 2.0), (0.9, 2.0), (0.75, 2.0), (0.5, 2.0)):
+    for share in SHARES:
         rest = dict(left)
-        tries.append(_rounded(found, share * x, rest, least) + best_fit(rest, capacity))
+        fitted = _rounded(found, share * x, rest)
+        tries.append(fitted + best_fit(rest, capacity))
     return groups + min(tries, key=lambda t: sum(count for count, _ in t))
 
 

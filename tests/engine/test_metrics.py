@@ -112,3 +112,45 @@ def test_paired_delta(spark):
     rows = [(0, "a", 1.0), (1, "a", 2.0), (0, "b", 0.25), (1, "b", 0.5)]
     df = spark.createDataFrame(rows, "draw int, method string, v double")
     assert sorted(r.delta for r in bootstrap.paired_delta(df, "v", "method", "a", "b", "draw").collect()) == [0.75, 1.5]
+
+
+def test_retained_lift_and_dependency(spark):
+    rows = [(0.2, 0.4), (0.0, 0.4), (-0.1, 0.4), (0.2, 0.0), (0.2, -1.0)]
+    df = spark.createDataFrame(rows, "lift double, base double")
+    assert [r[0] for r in df.select(metrics.retained_ratio(F.col("lift"), F.col("base"))).collect()] == [0.5, 0.0, 0.0, None, None]
+    cases = [
+        (0.49, 3, 2, 4, "strong_dependency"),
+        (0.49, 2, 2, 4, "limited_dependency"),
+        (0.49, 4, 1, 4, "limited_dependency"),
+        (0.0, 4, 2, 5, "strong_dependency"),
+        (0.5, 3, 0, 4, "moderate_dependency"),
+        (0.5, 2, 2, 4, "limited_dependency"),
+        (0.8, 4, 4, 4, "limited_dependency"),
+        (None, 4, 4, 4, "not_assessable_nonpositive_s0_ap_lift"),
+    ]
+    df = spark.createDataFrame(cases, "ratio double, declines int, large int, domains int, expected string")
+    found = df.select("expected", metrics.dependency(*[F.col(c) for c in ("ratio", "declines", "large", "domains")]).alias("d")).collect()
+    assert all(r.d == r.expected for r in found)
+
+
+def test_signal_grades(spark):
+    schema = "t string, m string, f int, average_precision double, prevalence double, f1 double"
+
+    def rows(t, ap, f1, folds):
+        cells = [(t, "B0", 0, 0.5, 0.5, 0.6), (t, "B2", 0, ap, 0.5, f1)]
+        for k, (a, b) in enumerate(folds, 1):
+            cells += [(t, "B0", k, 0.5, 0.5, 0.6), (t, "B2", k, a, 0.5, b)]
+        return cells
+
+    good, bad = (0.7, 0.7), (0.7, 0.5)
+    table = rows("clear", 0.8, 0.7, [good, good, bad]) + rows("one fold", 0.8, 0.7, [good, bad, bad])
+    table += rows("none", 0.5, 0.6, [good, good]) + rows("ap only", 0.8, 0.6, [good, good, good]) + rows("null", None, None, [(None, None)])
+    df = spark.createDataFrame(table, schema)
+    found = metrics.signal_grades(df.where("f = 0"), df.where("f > 0"), "m", "f", ("B0", "B1"), ("B2", "B3"), "t").collect()
+    assert dict(map(tuple, found)) == {
+        "clear": "clear_provisional_signal",
+        "one fold": "weak_or_mixed_signal",
+        "none": "no_obvious_signal",
+        "ap only": "weak_or_mixed_signal",
+        "null": "no_obvious_signal",
+    }

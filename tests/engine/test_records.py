@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,12 @@ def test_digest_follows_values_not_order(spark):
     b = records.probability_digest(spark.createDataFrame(rows[::-1], schema), "k", "p", "m").first().digest
     c = records.probability_digest(spark.createDataFrame(rows[:-1] + [("m", 19, 2.71428571428572)], schema), "k", "p", "m").first().digest
     assert a == b != c
+    expected = hashlib.sha256(np.array([p for *_, p in rows], "<f8").tobytes()).hexdigest()
+    assert a == expected
+    several = spark.createDataFrame([("m", i, i / 7) for i in range(20)] + [("n", i, 0.5) for i in range(3)] + [(None, 1, 1.0)], schema).repartition(5)
+    found = {r.m: r.digest for r in records.probability_digest(several, "k", "p", "m").collect()}
+    assert found["m"] == expected and found["n"] == hashlib.sha256(np.full(3, 0.5, "<f8").tobytes()).hexdigest() and len(found) == 3
+    assert records.probability_digest(several.where("m = 'm'"), "k", "p").first().digest == expected
 
 
 def test_variant_grid_and_wording(spark):

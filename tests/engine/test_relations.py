@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,9 +38,9 @@ def test_strict_join_refuses_losses_and_changes(spark):
 
 
 def test_task_id_rules_differ_at_the_end(spark):
-    df = spark.createDataFrame([(" A.improved.3",), ("a.improved",), ("a.improvedx",), ("a.resized.1\t",)], "x string")
+    df = spark.createDataFrame([(" A.improved.3",), ("a.improved",), ("a.improvedx",), ("a.resized.1\t",), (" T.1.improved.resized ",)], "x string")
     found = [tuple(r) for r in df.select(scalar.normalize_task_id(F.col("x")), scalar.normalize_task_id(F.col("x"), True)).collect()]
-    assert found == [("a.3", "a.3"), ("a.improved", "a"), ("a.improvedx", "ax"), ("a.1", "a.resized.1")]
+    assert found == [("a.3", "a.3"), ("a.improved", "a"), ("a.improvedx", "ax"), ("a.1", "a.1"), ("t.1.resized", "t.1")]
 
 
 def test_composite_key_reserves_its_delimiter(spark):
@@ -74,30 +76,48 @@ def test_grouped_folds_are_disjoint_balanced_and_stable(spark):
 
 
 def test_json_paths(spark):
-    text = '{"b": [1, {"x-1": true}], "a": {"9k": null, "name": "v"}, "c": 1.5}'
-    df = spark.createDataFrame([(1, text), (2, "no json"), (3, None)], "id int, j string")
-    found = [(r.id, r.path, r.kind, r.value) for r in inventory.paths(spark, df, "j", "id").collect()]
+    text = '{"b": [1, {"x-1": true}], "a": {"9k": null, "Name": "v"}, "c": 1.5, "screenshot": "REMOVED"}'
+    more = '{"steps": [{"image_url": ""}, {"image_url": "shots/1.png"}], "bounding_boxes": {"k": 1}}'
+    df = spark.createDataFrame([(1, text), (2, "no json"), (3, None), (4, more)], "id int, j string")
+    nodes = inventory.paths(spark, df, "j", "id")
+    found = [(r.id, r.path, r.kind, r.value, r.size) for r in nodes.where("id < 4").collect()]
     assert sorted(found, key=repr) == sorted(
         [
-            (1, "$", "object", None),
-            (1, "$.a", "object", None),
-            (1, "$.a.{*}", "null", None),
-            (1, "$.a.name", "string", "v"),
-            (1, "$.b", "array", None),
-            (1, "$.b[]", "integer", "1"),
-            (1, "$.b[]", "object", None),
-            (1, "$.b[].x-1", "boolean", "true"),
-            (1, "$.c", "number", "1.5"),
-            (2, "$", "invalid", None),
+            (1, "$", "dict", None, 4),
+            (1, "$.a", "dict", None, 2),
+            (1, "$.a.{*}", "null", "None", None),
+            (1, "$.a.Name", "str", "v", None),
+            (1, "$.b", "list", None, 2),
+            (1, "$.b[]", "int", "1", None),
+            (1, "$.b[]", "dict", None, 1),
+            (1, "$.b[].x-1", "bool", "True", None),
+            (1, "$.c", "float", "1.5", None),
+            (1, "$.screenshot", "str", "REMOVED", None),
+            (2, "$", "invalid", None, None),
         ],
         key=repr,
     )
+    keys = {(r.id, r.key) for r in inventory.nested_keys(nodes, "id").collect()}
+    assert {k for i, k in keys if i == 1} == {"a", "b", "c", "9k", "name", "x-1", "screenshot"}
+    assert [tuple(r) for r in inventory.banned_keys(nodes, "id", ("NAME", "reward")).collect()] == [(1, "name")]
+    flags = dict(map(tuple, inventory.screenshot_flags(nodes, "id").collect()))
+    assert flags == {1: False, 2: False, 4: True}
+    assert nodes.where("path = '$.bounding_boxes.{*}'").count() == 1
+    examples = {(r.path, r.kind): r.example for r in inventory.inventory(nodes.where("id = 1"), "id").collect()}
+    assert examples["$", "dict"] == "<object:keys=4>" and examples["$.b", "list"] == "<list:length=2>"
+    assert (examples["$.b[]", "int"], examples["$.b[].x-1", "bool"], examples["$.a.{*}", "null"], examples["$.c", "float"]) == ("1", "True", "None", "1.5")
+    assert examples["$.a.Name", "str"] == "<string:length=1:sha256=" + hashlib.sha256(b"v").hexdigest()[:12] + ">"
 
 
 def test_first_rule_decides(spark):
     df = spark.createDataFrame([("$.reward_model",), ("$.model",), ("$.last_error",), ("$.goal",)], "path string")
-    found = [(r.leakage, r.role) for r in inventory.classified(df).collect()]
-    assert found == [("forbidden", "other"), ("identity", "other"), ("review", "error"), ("clean", "task")]
+    found = [(r.leakage_level, r.role, r.policy) for r in inventory.classified(df).collect()]
+    assert found == [
+        ("level_1", "model_metadata", "manual_review"),
+        ("level_3", "model_metadata", "metadata_only"),
+        ("level_3", "unclassified", "manual_review"),
+        (None, "unclassified", "primary_input"),
+    ]
 
 
 def test_newton_solves_the_penalised_problem():
@@ -145,7 +165,23 @@ def test_score_roll_up(spark):
     rows = [("p", 4, 2, 50.0, False, None), ("p", 4, 4, 50.0, True, 60.0)]
     df = spark.createDataFrame(rows, "k string, primary_score int, adversarial_score int, weight double, cap_triggered boolean, cap_value double")
     r = reporting.weighted_score(df, "k").first()
-    assert (r.raw_score, r.final_score, r.decision) == (75.0, 60.0, "revise")
+    assert (r.raw_score, r.final_score) == (75.0, 60.0)
+
+
+def test_decisions(spark):
+    rows = [
+        ("go", 80.0, 70.0, None, False, False),
+        ("mend", 79.9, 70.0, False, False, False),
+        ("mend", 80.0, 69.9, False, False, False),
+        ("mend", 95.0, 95.0, False, True, False),
+        ("mend", 95.0, 95.0, False, None, True),
+        ("stop", 69.9, 95.0, False, False, False),
+        ("stop", 95.0, 59.9, False, False, False),
+        ("stop", 95.0, 95.0, True, True, False),
+    ]
+    df = spark.createDataFrame(rows, "e string, v double, c double, confirmed boolean, possible boolean, open boolean")
+    found = df.select("e", reporting.decision(*[F.col(c) for c in ("v", "c", "confirmed", "possible", "open")]).alias("d")).collect()
+    assert [r.d for r in found] == [{"go": "GO", "mend": "GO_WITH_MITIGATION", "stop": "NO_GO"}[r.e] for r in found]
 
 
 def test_tables(spark):

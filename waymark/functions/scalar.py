@@ -33,11 +33,11 @@ def normalize_task_id(x: Column, anywhere: bool = False) -> Column:
     """Stripped and lower-cased, without the markers of revised tasks.
 
     The markers ``.improved.`` and ``.resized.`` stand between two parts;
-    ``anywhere`` removes ``.improved`` wherever it stands.
+    ``anywhere`` removes ``.improved`` and then ``.resized`` wherever they stand.
     """
     low = F.lower(strip(x))
     if anywhere:
-        return F.replace(low, F.lit(".improved"), F.lit(""))
+        return F.replace(F.replace(low, F.lit(".improved"), F.lit("")), F.lit(".resized"), F.lit(""))
     return F.replace(F.replace(low, F.lit(".improved."), F.lit(".")), F.lit(".resized."), F.lit("."))
 
 
@@ -80,9 +80,15 @@ def occurrences(text: Column, literal: Column) -> Column:
 
 
 def redacted(x: Column) -> Column:
-    """Type, length and the start of a digest in place of a value."""
+    """Length and the start of a digest in place of a text; ``None`` for null."""
     shown = F.concat(F.lit("<string:length="), F.char_length(x).cast("string"), F.lit(":sha256="), F.substring(F.sha2(x, 256), 1, 12), F.lit(">"))
-    return F.when(x.isNull(), F.lit("<null>")).otherwise(shown)
+    return F.when(x.isNull(), F.lit("None")).otherwise(shown)
+
+
+def redacted_node(kind: Column, value: Column, size: Column) -> Column:
+    """The example of a JSON node: texts as digests, lists and objects by size, other scalars by value."""
+    sized = F.when(kind == "list", F.format_string("<list:length=%d>", size)).when(kind == "dict", F.format_string("<object:keys=%d>", size))
+    return F.when(kind == "str", redacted(value)).when(kind.isin("list", "dict"), sized).otherwise(F.substring(value, 1, 80))
 
 
 def safe_path(path: Column, prefix: str, suffix: str, banned: tuple[str, ...] = ("..", "")) -> Column:

@@ -137,13 +137,62 @@ def delta_to_variant(cells: DataFrame, metric: str, variant: str, base: str, *ke
     return cells.withColumn("base_value", value).withColumn("delta", F.col(metric) - value)
 
 
-def retained(cells: DataFrame, lift: str, base: str) -> DataFrame:
-    """(retained_ratio, dependency): how much of the base's lift a variant keeps; null and ``undefined`` without a positive base."""
-    ratio = F.when(F.col(base) > 0, F.col(lift) / F.col(base))
-    kind = (
-        F.when(ratio.isNull(), "undefined").when(ratio < 0.5, "strong").when(ratio < 0.9, "moderate").when(ratio <= 1.1, "weak").otherwise("negative")
+def retained_ratio(lift: Column, base: Column) -> Column:
+    """How much of the base's lift a variant keeps: 0 where it has none, null without a positive base."""
+    return F.when(base > 0, F.when(lift <= 0, F.lit(0.0)).otherwise(lift / base))
+
+
+def dependency(ratio: Column, declines: Column, large_declines: Column, domains: Column) -> Column:
+    """How much a target depends on what a variant leaves out.
+
+    strong: less than half of the lift is kept, three quarters of the domains decline and two or more by
+    0.05; moderate: 0.5 to 0.8 is kept and more than half of the domains decline; else limited.
+    """
+    strong = (ratio < 0.5) & (declines >= F.ceil(domains * 3 / 4)) & (large_declines >= 2)
+    moderate = (ratio >= 0.5) & (ratio < 0.8) & (declines * 2 > domains)
+    kind = F.when(strong, "strong_dependency").when(moderate, "moderate_dependency").otherwise("limited_dependency")
+    return F.when(ratio.isNull(), "not_assessable_nonpositive_s0_ap_lift").otherwise(kind)
+
+
+def variant_dependency(scored: DataFrame, variant: str, base: str, domain: str, *keys: str, sufficiency: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, variant, retained_ratio, domains, declines, large_declines, dependency) of (label, score) by variant.
+
+    The ratio is of pooled lifts; declines are of average precision in domains that have both classes.
+    The base is the ``reference``; variants that keep one part only get no grade of dependency.
+    """
+    pooled = delta_to_variant(ranking(scored, *keys, variant), "ap_lift", variant, base, *keys)
+    by_domain = delta_to_variant(ranking(scored, *keys, domain, variant), "average_precision", variant, base, *keys, domain)
+    counted = by_domain.groupBy(*keys, variant).agg(
+        F.count("delta").alias("domains"),
+        F.count_if(F.col("delta") < 0).alias("declines"),
+        F.count_if(F.col("delta") <= -0.05).alias("large_declines"),
     )
-    return cells.withColumn("retained_ratio", ratio).withColumn("dependency", kind)
+    joined = pooled.join(counted, [*keys, variant]).withColumn("retained_ratio", retained_ratio(F.col("ap_lift"), F.col("base_value")))
+    graded = dependency(F.col("retained_ratio"), F.col("declines"), F.col("large_declines"), F.col("domains"))
+    kind = F.when(F.col(variant) == base, "reference").when(F.col(variant).isin(*sufficiency), "sufficiency_only_not_dependency_grade").otherwise(graded)
+    return joined.select(*keys, variant, "retained_ratio", "domains", "declines", "large_declines", kind.alias("dependency"))
+
+
+def signal_grades(pooled: DataFrame, folds: DataFrame, method: str, fold: str, dummies: tuple[str, ...], learned: tuple[str, ...], *keys: str) -> DataFrame:
+    """(keys, grade) from metrics (average_precision, prevalence, f1) pooled and by fold.
+
+    A learned method is better in average precision where that exceeds the prevalence, and in F1 where that
+    exceeds the dummies' best. clear_provisional_signal: one is better in both, and in both at once in two or
+    more folds; no_obvious_signal: none is better in either; else weak_or_mixed_signal.
+    """
+
+    def judged(rows: DataFrame, *cell: str) -> DataFrame:
+        best = F.max(F.when(F.col(method).isin(*dummies), F.col("f1"))).over(Window.partitionBy(*cell))
+        better = {"ap_better": F.col("average_precision") > F.col("prevalence"), "f1_better": F.col("f1") > best}
+        told = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in better.items()})
+        return told.where(F.col(method).isin(*learned))
+
+    improved = judged(folds, *keys, fold).groupBy(*keys, method).agg(F.count_if(F.col("ap_better") & F.col("f1_better")).alias("improved"))
+    joined = judged(pooled, *keys).join(improved, [*keys, method], "left")
+    clear = F.bool_or(F.col("ap_better") & F.col("f1_better") & (F.col("improved") >= 2))
+    some = F.bool_or(F.col("ap_better") | F.col("f1_better"))
+    grade = F.when(clear, "clear_provisional_signal").when(~some, "no_obvious_signal").otherwise("weak_or_mixed_signal")
+    return joined.groupBy(*keys).agg(grade.alias("grade"))
 
 
 def evidence_grade(low: Column, point: Column, valid_fraction: Column | None = None) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +145,36 @@ class LinearModel:
 
 
 def probability_digest(rows: DataFrame, key: str, probability: str, *keys: str) -> DataFrame:
-    """(keys, digest): of the probabilities in key order, each by its shortest exact text."""
-    text = F.col(probability).cast("string")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("b"))))
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["b"]), "|"), 256).alias("digest"))
+    """(keys, digest): SHA-256 over the little-endian doubles of a group, in key order.
+
+    A digest runs over its values in order, so a group is read by one task; it is read as a stream.
+    """
+    names = [*keys, "digest"]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, types = None, None, []
+
+        def closed() -> pa.RecordBatch:
+            cells = [pa.array([v], t) for v, t in zip((*now, digest.hexdigest()), types, strict=True)]
+            return pa.RecordBatch.from_arrays(cells, names)
+
+        for batch in batches:
+            types = [*batch.schema.types[: len(keys)], pa.string()]
+            cells = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))], strict=True)) or [()] * batch.num_rows
+            values = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype("<f8")
+            at = 0
+            for i in range(1, len(cells) + 1):
+                if i == len(cells) or cells[i] != cells[at]:
+                    if cells[at] != now:
+                        if digest is not None:
+                            yield closed()
+                        now, digest = cells[at], hashlib.sha256()
+                    digest.update(values[at:i].tobytes())
+                    at = i
+        if digest is not None:
+            yield closed()
+
+    ordered = rows.repartition(*keys) if keys else rows.coalesce(1)
+    slim = ordered.sortWithinPartitions(*keys, key).select(*keys, F.col(probability).cast("double"))
+    return slim.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "digest string"]))

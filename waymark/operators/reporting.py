@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,28 @@ def registry(parts: dict[str, DataFrame], id_column: str, value_column: str) ->
 
 
 def weighted_score(criteria: DataFrame, *keys: str) -> DataFrame:
-    """Roll-up of 0..4 scores: the lower of two scores, weighted to 100, capped, and a decision."""
+    """Roll-up of 0..4 scores: the lower of two scores, weighted to 100, and capped."""
     sub = F.least("primary_score", "adversarial_score")
     raw = F.sum(F.col("weight") * sub / 4)
     cap = F.min(F.when(F.col("cap_triggered"), F.col("cap_value")))
     out = criteria.groupBy(*keys).agg(raw.alias("raw_score"), cap.alias("cap"))
     final = F.least("raw_score", F.coalesce(F.col("cap"), F.lit(100.0)))
-    kind = F.when(F.col("final_score") >= 75, "go").when(F.col("final_score") >= 50, "revise").otherwise("stop")
-    return out.withColumn("final_score", final).withColumn("decision", kind)
+    return out.withColumn("final_score", final)
+
+
+def decision(validity: Column, core: Column, confirmed: Column, possible: Column, unresolved: Column) -> Column:
+    """What a validity score, a core score (both 0..100) and risks allow.
+
+    NO_GO: a confirmed critical risk, validity below 70 or core below 60; GO_WITH_MITIGATION: a possible
+    critical risk, an unresolved major one, validity below 80 or core below 70; else GO. A null flag is false.
+    """
+
+    def told(flag: Column) -> Column:
+        return F.coalesce(flag, F.lit(False))
+
+    stop = told(confirmed) | (validity < 70) | (core < 60)
+    mend = told(possible) | told(unresolved) | (validity < 80) | (core < 70)
+    return F.when(stop, "NO_GO").when(mend, "GO_WITH_MITIGATION").otherwise("GO")
 
 
 def run_summary(runs: DataFrame, method: str, phase: str, value: str) -> DataFrame:

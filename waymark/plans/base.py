@@ -24,6 +24,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(role: str) -> Column:
         return F.when(F.col("role") == role, F.col("text"))
 
+    other = ~F.coalesce(F.col("role").isin("assistant", "user", "system"), F.lit(False))
     step = F.struct(
         (F.col("turn") + 1).cast("int").alias("step_index"),
         of("assistant").alias("action"),
@@ -31,6 +32,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("text").contains("#"), F.lit("mark")).alias("error"),
         of("system").alias("reasoning"),
         F.substring(of("user"), 1, 3).alias("focused_element"),
+        F.when(other, F.col("role")).alias("tool_name"),
+        F.lit(None).cast("string").alias("tool_input"),
+        F.when(other, F.col("text")).alias("tool_output"),
     )
     steps = F.array_sort(F.collect_list(step)).alias("steps")
     return turns.groupBy(F.col("conv_id").alias("key")).agg(steps, F.min_by("text", "turn").alias("instruction"))
@@ -40,7 +44,9 @@ RECORDS = """steps AS (
     SELECT conv_id AS key, CAST(turn + 1 AS INT) AS step_index, text, turn,
         CASE WHEN role = 'assistant' THEN text END AS action, CASE WHEN role = 'user' THEN text END AS observation,
         CASE WHEN contains(text, '#') THEN 'mark' END AS error, CASE WHEN role = 'system' THEN text END AS reasoning,
-        CASE WHEN role = 'user' THEN substr(text, 1, 3) END AS focused
+        CASE WHEN role = 'user' THEN substr(text, 1, 3) END AS focused,
+        CASE WHEN role IN ('assistant', 'user', 'system') THEN NULL ELSE role END AS tool_name,
+        CASE WHEN role IN ('assistant', 'user', 'system') THEN NULL ELSE text END AS tool_output
     FROM conversations
 ), clean AS (
     SELECT *, nullif(regexp_replace(regexp_replace(action, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '') AS act,

@@ -138,32 +138,50 @@ FROM ranked v JOIN ranked s ON v.target = s.target AND v.domain = s.domain AND s
 
 
 def retained_lift_class(spark, sf):
-    cells = metrics.delta_to_variant(metrics.ranking(predictions(spark, sf), "target", "domain", "method"), "ap_lift", "method", "B4", "target", "domain")
-    found = metrics.retained(cells, "ap_lift", "base_value")
-    return _round(found.select("target", "domain", "method", "retained_ratio", "dependency"), "retained_ratio")
+    found = metrics.variant_dependency(predictions(spark, sf), "method", "B4", "domain", "target", sufficiency=("B0",))
+    return _round(found, "retained_ratio")
 
 
-RETAINED_SQL = f"""WITH {PREDICTIONS}, {ranking_sql("target, domain, method")}, r AS (
-    SELECT v.target, v.domain, v.method, CASE WHEN s.ap_lift > 0 THEN v.ap_lift / s.ap_lift END AS ratio
-    FROM ranked v JOIN ranked s ON v.target = s.target AND v.domain = s.domain AND s.method = 'B4'
-) SELECT target, domain, method, round(ratio, 9) + 0.0 AS retained_ratio, CASE WHEN ratio IS NULL THEN 'undefined' WHEN ratio < 0.5 THEN 'strong'
-    WHEN ratio < 0.9 THEN 'moderate' WHEN ratio <= 1.1 THEN 'weak' ELSE 'negative' END AS dependency FROM r"""
+RETAINED_SQL = f"""WITH {PREDICTIONS}, {ranking_sql("target, method", name="p")}, {ranking_sql("target, domain, method", name="d")}, r AS (
+    SELECT v.target, v.method, CASE WHEN s.ap_lift > 0 THEN CASE WHEN v.ap_lift <= 0 THEN 0 ELSE v.ap_lift / s.ap_lift END END AS ratio
+    FROM p v JOIN p s ON v.target = s.target AND s.method = 'B4'
+), c AS (
+    SELECT v.target, v.method, count(v.average_precision - s.average_precision) AS domains, count(*) FILTER (v.average_precision < s.average_precision) AS declines,
+        count(*) FILTER (v.average_precision - s.average_precision <= -0.05) AS large_declines
+    FROM d v JOIN d s ON v.target = s.target AND v.domain = s.domain AND s.method = 'B4' GROUP BY v.target, v.method
+) SELECT target, method, round(ratio, 9) + 0.0 AS retained_ratio, domains, declines, large_declines, CASE WHEN method = 'B4' THEN 'reference'
+    WHEN method = 'B0' THEN 'sufficiency_only_not_dependency_grade' WHEN ratio IS NULL THEN 'not_assessable_nonpositive_s0_ap_lift'
+    WHEN ratio < 0.5 AND declines >= ceil(domains * 0.75) AND large_declines >= 2 THEN 'strong_dependency'
+    WHEN ratio >= 0.5 AND ratio < 0.8 AND declines > domains / 2 THEN 'moderate_dependency' ELSE 'limited_dependency' END AS dependency
+FROM r JOIN c USING (target, method)"""
 
 
 def signal_grades(spark, sf):
-    """A grade per target and method from the share of domains that gain over the best dummy."""
-    cells = metrics.ranking(predictions(spark, sf), "target", "domain", "method")
-    gains = metrics.delta_to_best(cells, "average_precision", "method", ("B0", "B1"), "target", "domain").where("method NOT IN ('B0', 'B1')")
-    counted = gains.groupBy("target", "method").agg(F.count("delta").alias("domains"), F.count_if(F.col("delta") > 0).alias("gaining"))
-    needed = F.ceil(F.col("domains") * 3 / 4)
-    grade = F.when((F.col("domains") > 0) & (F.col("gaining") >= needed), "stable").when(F.col("gaining") > 0, "mixed").otherwise("none")
-    return counted.withColumn("grade", grade)
+    """A grade per target; the languages stand for the folds."""
+    scored = predictions(spark, sf)
+
+    def cells(*keys):
+        found = metrics.rates(metrics.confusion(scored, *keys)).select(*keys, "f1")
+        return metrics.ranking(scored, *keys).join(found, list(keys))
+
+    return metrics.signal_grades(cells("target", "method"), cells("target", "domain", "method"), "method", "domain", ("B0", "B1"), ("B2", "B3", "B4"), "target")
 
 
-GRADES_SQL = f"""WITH {PREDICTIONS}, {ranking_sql("target, domain, method")}, b AS (
-    SELECT *, average_precision - max(average_precision) FILTER (method IN ('B0', 'B1')) OVER (PARTITION BY target, domain) AS delta FROM ranked
-), c AS (SELECT target, method, count(delta) AS domains, count(*) FILTER (delta > 0) AS gaining FROM b WHERE method NOT IN ('B0', 'B1') GROUP BY target, method)
-SELECT *, CASE WHEN domains > 0 AND gaining >= ceil(domains * 3 / 4.0) THEN 'stable' WHEN gaining > 0 THEN 'mixed' ELSE 'none' END AS grade FROM c"""
+GRADES_SQL = f"""WITH {PREDICTIONS}, {ranking_sql("target, method", name="p")}, {confusion_sql("target, method", name="pc")},
+{ranking_sql("target, domain, method", name="d")}, {confusion_sql("target, domain, method", name="dc")}, pooled AS (
+    SELECT target, method, average_precision > prevalence AS ap, CASE WHEN pc.positives BETWEEN 1 AND pc.n - 1 THEN 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE END AS f1
+    FROM p JOIN pc USING (target, method)
+), folds AS (
+    SELECT target, domain, method, average_precision > prevalence AS ap, CASE WHEN dc.positives BETWEEN 1 AND dc.n - 1 THEN coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) END AS f1
+    FROM d JOIN dc USING (target, domain, method)
+), improved AS (
+    SELECT f.target, f.method, count(*) FILTER (f.ap AND f.f1 > b.best) AS improved FROM folds f
+    JOIN (SELECT target, domain, max(f1) AS best FROM folds WHERE method IN ('B0', 'B1') GROUP BY target, domain) b USING (target, domain) GROUP BY f.target, f.method
+), j AS (
+    SELECT target, coalesce(ap, false) AS ap, coalesce(coalesce(f1, 0) > best, false) AS f1, improved FROM pooled JOIN improved USING (target, method)
+    JOIN (SELECT target, max(coalesce(f1, 0)) AS best FROM pooled WHERE method IN ('B0', 'B1') GROUP BY target) USING (target) WHERE method IN ('B2', 'B3', 'B4')
+) SELECT target, CASE WHEN bool_or(ap AND f1 AND improved >= 2) THEN 'clear_provisional_signal' WHEN NOT bool_or(ap OR f1) THEN 'no_obvious_signal'
+    ELSE 'weak_or_mixed_signal' END AS grade FROM j GROUP BY target"""
 
 
 def method_pivot(spark, sf):
@@ -266,14 +284,14 @@ def row_equality(spark, sf):
     """Two prediction tables compared row by row."""
     scored = predictions(spark, sf)
     a = scored.where("method = 'B2'").select("unit", "target", "score", "predicted")
-    b = scored.where("method = 'B3' AND unit % 7 <> 0").select("unit", "target", "score", "predicted")
+    b = scored.where("method = 'B3'").select("unit", "target", "score", "predicted")
     found = joins.compared(a, b, ["unit", "target"], ["score", "predicted"])
     return _round(found, "max_difference")
 
 
 EQUALITY_SQL = f"""WITH {PREDICTIONS}, j AS (
     SELECT a.unit AS ua, b.unit AS ub, a.score AS sa, b.score AS sb, a.predicted AS pa, b.predicted AS pb
-    FROM (SELECT * FROM pred WHERE method = 'B2') a FULL JOIN (SELECT * FROM pred WHERE method = 'B3' AND unit % 7 <> 0) b ON a.unit = b.unit AND a.target = b.target
+    FROM (SELECT * FROM pred WHERE method = 'B2') a FULL JOIN (SELECT * FROM pred WHERE method = 'B3') b ON a.unit = b.unit AND a.target = b.target
 ) SELECT count(*) FILTER (ua IS NOT NULL AND ub IS NOT NULL) AS compared, count(*) FILTER (ua IS NULL OR ub IS NULL) AS unpaired,
     count(*) FILTER (sa <> sb OR pa <> pb) AS unequal, round(max(greatest(abs(sa - sb), abs(pa - pb))), 9) AS max_difference FROM j"""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import vectors
@@ -36,13 +39,13 @@ def embedding_weighted_mean(spark, sf):
     items = vecs.select("label", "weight", F.posexplode(vectors.unit(F.col("embedding"))).alias("i", "x"))
     mean = items.groupBy("label", "i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
     length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("length"))
-    return mean.join(length, "label").select("label", "i", F.round(F.col("m") / F.col("length") + 0.0, 6).alias("value")).where("i < 8")
+    return mean.join(length, "label").select("label", "i", F.round(F.col("m") / F.col("length") + 0.0, 6).alias("value"))
 
 
 MEAN_SQL = """WITH e AS (SELECT vec_id, label, vec_id % 3 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS i FROM embeddings),
 n AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM e GROUP BY vec_id), m AS (SELECT label, i, sum(x / l * w) / sum(w) AS m FROM e JOIN n USING (vec_id) GROUP BY label, i),
 s AS (SELECT label, sqrt(sum(m * m)) AS l FROM m GROUP BY label)
-SELECT label, i, round(m / l + 0.0, 6) AS value FROM m JOIN s USING (label) WHERE i < 8"""
+SELECT label, i, round(m / l + 0.0, 6) AS value FROM m JOIN s USING (label)"""
 
 
 def dummy_baselines(spark, sf):
@@ -54,15 +57,16 @@ DUMMIES_SQL = """SELECT lang, CASE WHEN avg(toxic) > 0.5 THEN 1.0::DOUBLE ELSE 0
 
 
 def standard_scaler(spark, sf):
-    """Statistics of the training rows, applied to the others."""
+    """The rows of each fold in units of the other folds' statistics."""
     part = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    fitted = ml.scaler(part.where("p_partkey % 4 <> 0"), ["size", "price"])
-    held = ml.scaled(part.where("p_partkey % 4 = 0"), fitted, ["size", "price"])
-    return held.select("p_partkey", F.round("size", 6).alias("size"), F.round("price", 6).alias("price"))
+    fold = F.col("p_partkey") % 4
+    held = [ml.scaled(part.where(fold == k), ml.scaler(part.where(fold != k), ["size", "price"]), ["size", "price"]) for k in range(4)]
+    return reduce(DataFrame.unionByName, held).select("p_partkey", F.round("size", 6).alias("size"), F.round("price", 6).alias("price"))
 
 
-SCALER_SQL = """WITH f AS (SELECT avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp FROM part WHERE p_partkey % 4 <> 0)
-SELECT p_partkey, round((p_size - ms) / ss, 6) AS size, round((p_retailprice - mp) / sp, 6) AS price FROM part, f WHERE p_partkey % 4 = 0"""
+SCALER_SQL = """WITH f AS (SELECT k, avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp
+    FROM part, range(4) t(k) WHERE p_partkey % 4 <> k GROUP BY k)
+SELECT p_partkey, round((p_size - ms) / ss, 6) AS size, round((p_retailprice - mp) / sp, 6) AS price FROM part JOIN f ON p_partkey % 4 = k"""
 
 
 def tfidf_weights(spark, sf):

@@ -13,7 +13,8 @@ _DOUBLES = ("natural_error_step_ratio", "action_char_count_mean_nonempty", "obse
 
 def steps_nested_features(spark, sf):
     """The structural features of every record."""
-    found = steps.structural_features(F.col("steps"), F.lit(None).cast("string"))
+    signal = F.when(F.size("steps") % 2 == 0, F.lit("send_msg_to_user"))
+    found = steps.structural_features(F.col("steps"), signal)
     return records(spark, sf).select("key", *[rounded(c).alias(n) if n in _DOUBLES else c.alias(n) for n, c in found.items()])
 
 
@@ -21,9 +22,10 @@ FEATURES_SQL = f"""WITH {RECORDS}, acts AS (
     SELECT key, act, lag(act) OVER (PARTITION BY key ORDER BY turn) AS before FROM clean WHERE act IS NOT NULL
 ), u AS (SELECT key, count(DISTINCT act) AS distinct_acts, count(*) FILTER (act = before) AS same FROM acts GROUP BY key), g AS (
     SELECT key, count(*) AS step_count, count(act) AS a, count(obs) AS o, count(foc) AS f, count(error) AS e,
-        CAST(coalesce(sum(length(action)), 0) AS BIGINT) AS ac, CAST(coalesce(sum(length(observation)), 0) AS BIGINT) AS oc FROM clean GROUP BY key
+        CAST(coalesce(sum(length(action)) FILTER (act IS NOT NULL), 0) AS BIGINT) AS ac,
+        CAST(coalesce(sum(length(observation)) FILTER (obs IS NOT NULL), 0) AS BIGINT) AS oc FROM clean GROUP BY key
 ) SELECT key, step_count, a AS nonempty_action_count, o AS nonempty_observation_count, f AS nonempty_focused_element_count,
-    e AS natural_error_step_count, round(e / step_count::DOUBLE, 9) AS natural_error_step_ratio, 0 AS has_explicit_termination_signal,
+    e AS natural_error_step_count, round(e / step_count::DOUBLE, 9) AS natural_error_step_ratio, CASE WHEN step_count % 2 = 0 THEN 1 ELSE 0 END AS has_explicit_termination_signal,
     ac AS action_char_count_total, oc AS observation_char_count_total, round(coalesce(ac / nullif(a, 0)::DOUBLE, 0), 9) AS action_char_count_mean_nonempty,
     round(coalesce(oc / nullif(o, 0)::DOUBLE, 0), 9) AS observation_char_count_mean_nonempty,
     round(coalesce(distinct_acts / nullif(a, 0)::DOUBLE, 0), 9) AS unique_action_ratio, coalesce(same, 0) AS consecutive_duplicate_action_count
@@ -76,16 +78,32 @@ def text_view_serialise(spark, sf):
     return records(spark, sf).select("key", views).withColumn("content_sha256", F.sha2("text", 256)).drop("text")
 
 
-VIEWS_SQL = f"""WITH {RECORDS}, t AS (SELECT conv_id AS key, first(text ORDER BY turn) AS task FROM conversations GROUP BY conv_id), v AS (
-    SELECT key, step_index, unnest(['primary_with_natural_errors', 'ablation_without_error_fields', 'sensitivity_with_reasoning']) AS view,
-        '[STEP ' || step_index || ']' || CASE WHEN act IS NOT NULL THEN chr(10) || 'ACTION: ' || action ELSE '' END
-        || CASE WHEN obs IS NOT NULL THEN chr(10) || 'OBSERVATION: ' || observation ELSE '' END AS body, error, reasoning FROM clean
+def views_sql(select: str, views: str = "['primary_with_natural_errors', 'ablation_without_error_fields', 'sensitivity_with_reasoning']") -> str:
+    """SQL over (key, view, task, body): the text of a view is the task's lines and the body."""
+
+    def shown(tag: str, column: str, condition: str = "true") -> str:
+        return f"CASE WHEN {column} <> '' AND {condition} THEN '{tag}:' || chr(10) || {column} END"
+
+    fields = ", ".join(
+        [shown("ACTION", "action"), shown("OBSERVATION", "observation"), shown("TOOL_NAME", "tool_name"), shown("TOOL_OUTPUT", "tool_output")]
+        + [shown("FOCUSED_ELEMENT", "focused"), shown("ERROR", "error", "view <> 'ablation_without_error_fields'")]
+        + [shown("REASONING", "reasoning", "view = 'sensitivity_with_reasoning'")]
+    )
+    return f"""WITH {RECORDS}, t AS (SELECT conv_id AS key, nullif(first(text ORDER BY turn), '') AS task FROM conversations GROUP BY conv_id), v AS (
+    SELECT *, unnest({views}) AS view FROM clean
+), p AS (
+    SELECT key, view, step_index, list_filter([{fields}], lambda x: x IS NOT NULL) AS parts FROM v
 ), s AS (
-    SELECT key, view, string_agg(body || CASE WHEN view <> 'ablation_without_error_fields' AND error IS NOT NULL THEN chr(10) || 'ERROR: ' || error ELSE '' END
-        || CASE WHEN view = 'sensitivity_with_reasoning' AND trim(reasoning) <> '' THEN chr(10) || 'REASONING: ' || reasoning ELSE '' END, chr(10) ORDER BY step_index) AS body
-    FROM v GROUP BY key, view
-) SELECT key, view, sha256(CASE WHEN regexp_replace(task, '^\\s+|\\s+$', '', 'g') <> '' THEN '[TASK] ' || task || chr(10) ELSE '' END || body || chr(10)) AS content_sha256
-FROM s JOIN t USING (key)""".replace("\\\\", "\\")
+    SELECT key, view, string_agg('[STEP ' || step_index || ']' || chr(10) || array_to_string(parts, chr(10)), chr(10) ORDER BY step_index)
+        FILTER (len(parts) > 0) AS body FROM p GROUP BY key, view
+), whole AS (
+    SELECT key, view, task, body FROM s JOIN t USING (key)
+) {select}"""
+
+
+VIEWS_SQL = views_sql(
+    "SELECT key, view, sha256(array_to_string(list_filter(['[TASK]' || chr(10) || task, body], lambda x: x IS NOT NULL), chr(10)) || chr(10)) AS content_sha256 FROM whole"
+)
 
 
 def _entries(spark, sf):
@@ -232,7 +250,7 @@ LEFT JOIN (SELECT * FROM documents JOIN labels USING (doc_id)) f ON f.source = s
 
 def field_character_counts(spark, sf):
     s = F.col("steps")
-    total = records(spark, sf).agg(*[F.sum(steps._chars(s, f)).alias(f) for f in ("action", "observation", "reasoning")])
+    total = records(spark, sf).agg(*[F.sum(steps.characters(s, f)).alias(f) for f in ("action", "observation", "reasoning")])
     return total.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("characters")) for f in ("action", "observation", "reasoning")])))
 
 

@@ -35,14 +35,16 @@ ANTI_SQL = """SELECT source, count(*) AS n, doc_id IN (SELECT doc_id FROM labels
 
 
 def key_universe_symdiff(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("key"))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")).where("key % 5 <> 0")
-    return joins.symmetric_difference(orders, lines, "key").groupBy("side").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+    """Customers without orders, and order numbers that no customer has."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    orders = table(spark, sf, "orders").select(F.explode(F.array("o_custkey", "o_orderkey")).alias("key"))
+    return joins.symmetric_difference(customers, orders, "key").groupBy("side").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
-SYMDIFF_SQL = """WITH a AS (SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey % 5 <> 0)
-SELECT 'left' AS side, count(*) AS n, min(key) AS first_key FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-UNION ALL SELECT 'right', count(*), min(key) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+SYMDIFF_SQL = """WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer), b AS (SELECT o_custkey AS key FROM orders UNION SELECT o_orderkey FROM orders)
+SELECT side, count(*) AS n, min(key) AS first_key FROM (
+    SELECT 'left' AS side, key FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', key FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+) GROUP BY side"""
 
 
 def key_universe_coverage(spark, sf):
@@ -158,14 +160,14 @@ def file_mapping_candidates(spark, sf):
     stem = F.regexp_extract("url", r"://([^/?#]*)", 1)
     found = pages.select(stem.alias("stem"), F.col("url").alias("path"))
     units = table(spark, sf, "nation").select(F.lit("blog.tionsh.example.com").alias("stem"), F.col("n_nationkey").alias("unit"))
-    units = units.unionByName(pages.where("page_id < 40").select(stem.alias("stem"), F.col("page_id").cast("int").alias("unit")))
+    units = units.unionByName(pages.select(stem.alias("stem"), F.col("page_id").cast("int").alias("unit")))
     units = units.unionByName(spark.range(1).select(F.lit("nowhere.example").alias("stem"), F.lit(-1).alias("unit")))
     return joins.mapped_files(units, found, "stem").select("unit", "stem", "candidate_count", "path")
 
 
 MAPPING_SQL = """WITH f AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS stem, url AS path FROM pages), u AS (
     SELECT 'blog.tionsh.example.com' AS stem, n_nationkey AS unit FROM nation
-    UNION ALL SELECT regexp_extract(url, '://([^/?#]*)', 1), CAST(page_id AS INT) FROM pages WHERE page_id < 40 UNION ALL SELECT 'nowhere.example', -1
+    UNION ALL SELECT regexp_extract(url, '://([^/?#]*)', 1), CAST(page_id AS INT) FROM pages UNION ALL SELECT 'nowhere.example', -1
 ), c AS (SELECT stem, count(*) AS n, min(path) AS p FROM f GROUP BY stem)
 SELECT unit, stem, coalesce(n, 0) AS candidate_count, CASE WHEN n = 1 THEN p END AS path FROM u LEFT JOIN c USING (stem)"""
 
@@ -193,20 +195,58 @@ def json_path_inventory(spark, sf):
 
 
 INVENTORY_SQL = """WITH n AS (
-    SELECT event_type, event_id, '$' AS path, 'object' AS kind, CAST(NULL AS VARCHAR) AS value FROM events
-    UNION ALL SELECT event_type, event_id, '$.k', 'integer', json_extract_string(props, '$.k') FROM events
+    SELECT event_type, event_id, '$' AS path, 'dict' AS kind, CAST(NULL AS VARCHAR) AS value FROM events
+    UNION ALL SELECT event_type, event_id, '$.k', 'int', json_extract_string(props, '$.k') FROM events
 ) SELECT path, kind, event_type, count(*) AS presence_count, count(DISTINCT event_id) AS record_count,
-    CASE WHEN kind = 'object' THEN '<null>' ELSE '<string:length=' || length(first(value ORDER BY event_id)) || ':sha256=' || substr(sha256(first(value ORDER BY event_id)), 1, 12) || '>' END AS example,
-    'clean' AS leakage, 'other' AS role FROM n GROUP BY path, kind, event_type"""
+    CASE WHEN kind = 'dict' THEN '<object:keys=1>' ELSE first(value ORDER BY event_id) END AS example,
+    CAST(NULL AS VARCHAR) AS leakage_level, CAST(NULL AS VARCHAR) AS leakage_kind, 'unclassified' AS role, 'manual_review' AS policy FROM n GROUP BY path, kind, event_type"""
+
+
+#: Paths with the policy, leakage level and role that the rules give them, worked by hand.
+_PATHS = (
+    ("$.goal", "primary_input", None, "unclassified"),
+    ("$.steps[].action", "primary_input", None, "action"),
+    ("$.steps[].last_action_error", "primary_input", "level_3", "action"),
+    ("$.steps[].reasoning", "sensitivity_only", None, "assistant_reasoning_or_visible_trace"),
+    ("$.steps[].reasoning.text", "sensitivity_only", None, "assistant_reasoning_or_visible_trace"),
+    ("$.steps[].reasoningx", "manual_review", None, "assistant_reasoning_or_visible_trace"),
+    ("$.steps[].screenshot", "permanent_exclude", None, "token_or_step_metadata"),
+    ("$.steps[].url", "metadata_only", None, "token_or_step_metadata"),
+    ("$.model", "metadata_only", "level_3", "model_metadata"),
+    ("$.model_args.seed", "metadata_only", None, "model_metadata"),
+    ("$.summary_info.n", "permanent_exclude", None, "unclassified"),
+    ("$.Reward", "permanent_exclude", "level_1", "outcome_or_judgment"),
+    ("$.cum_reward", "manual_review", "level_1", "outcome_or_judgment"),
+    ("$.flags.evaluator", "metadata_only", "level_2", "unclassified"),
+    ("$.task_name", "manual_review", None, "task_instruction_or_metadata"),
+    ("$.finished", "manual_review", "level_3", "unclassified"),
+)
+
+
+def field_policy_classes(spark, sf):
+    """Policy, leakage level and role of named paths, once for each region."""
+    named = spark.createDataFrame([(p,) for p, *_ in _PATHS], "path string")
+    rows = table(spark, sf, "region").select("r_regionkey").crossJoin(named)
+    found = inventory.field_policy(rows).withColumns({"level": inventory.leakage(F.col("path"))["level"], "role": inventory.role(F.col("path"))})
+    return found.select("r_regionkey", "path", "policy", "in_primary", "in_error_ablation", "in_reasoning_sensitivity", "level", "role")
+
+
+def _quoted(value):
+    return "NULL" if value is None else f"'{value}'"
+
+
+CLASSES_SQL = f"""SELECT r_regionkey, path, policy, policy = 'primary_input' AS in_primary, policy = 'primary_input' AND path <> '$.steps[].last_action_error' AS in_error_ablation,
+    policy IN ('primary_input', 'sensitivity_only') AS in_reasoning_sensitivity, level, role
+FROM region, (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in _PATHS)}) p(path, policy, level, role)"""
 
 
 def schema_drift(spark, sf):
     nodes = inventory.paths(spark, table(spark, sf, "events"), "props", "event_id", "event_type")
-    known = spark.createDataFrame([("$", "object")], "path string, kind string")
+    known = spark.createDataFrame([("$", "dict")], "path string, kind string")
     return inventory.drift(nodes, known, "event_id", "event_type")
 
 
-DRIFT_SQL = """SELECT '$.k' AS path, 'integer' AS kind, count(*) AS presence_count, count(DISTINCT event_id) AS record_count,
+DRIFT_SQL = """SELECT '$.k' AS path, 'int' AS kind, count(*) AS presence_count, count(DISTINCT event_id) AS record_count,
     (SELECT string_agg(t, ';' ORDER BY t) FROM (SELECT DISTINCT event_type AS t FROM events)) AS groups FROM events"""
 
 
@@ -244,12 +284,16 @@ def weighted_score_rollup(spark, sf):
         (F.col("p_size") > 45).alias("cap_triggered"),
         (F.col("p_size") + 20).cast("double").alias("cap_value"),
     )
-    return reporting.weighted_score(criteria, "p_brand").withColumn("raw_score", rounded(F.col("raw_score"))).withColumn("final_score", rounded(F.col("final_score")))
+    found = reporting.weighted_score(criteria, "p_brand")
+    critical = F.when(F.col("cap") < 40, F.lit(True)).otherwise(F.lit(False))
+    decided = found.withColumn("decision", reporting.decision(F.col("raw_score"), F.col("final_score"), critical, F.col("cap") < 60, F.lit(False)))
+    return decided.withColumn("raw_score", rounded(F.col("raw_score"))).withColumn("final_score", rounded(F.col("final_score")))
 
 
 SCORE_SQL = """WITH s AS (SELECT p_brand, sum(least(p_partkey % 5, p_size % 5) / 4.0::DOUBLE) AS raw_score, min(CASE WHEN p_size > 45 THEN (p_size + 20)::DOUBLE END) AS cap FROM part GROUP BY p_brand),
 f AS (SELECT *, least(raw_score, coalesce(cap, 100)) AS final_score FROM s)
-SELECT p_brand, round(raw_score, 9) AS raw_score, cap, round(final_score, 9) AS final_score, CASE WHEN final_score >= 75 THEN 'go' WHEN final_score >= 50 THEN 'revise' ELSE 'stop' END AS decision FROM f"""
+SELECT p_brand, round(raw_score, 9) AS raw_score, cap, round(final_score, 9) AS final_score, CASE WHEN coalesce(cap < 40, false) OR raw_score < 70 OR final_score < 60 THEN 'NO_GO'
+    WHEN coalesce(cap < 60, false) OR raw_score < 80 OR final_score < 70 THEN 'GO_WITH_MITIGATION' ELSE 'GO' END AS decision FROM f"""
 
 
 def evidence_registry(spark, sf):
@@ -296,6 +340,7 @@ QUERIES = {
     "drift_policy_fallback": (drift_policy_fallback, POLICY_SQL),
     "json_path_inventory": (json_path_inventory, INVENTORY_SQL),
     "schema_drift": (schema_drift, DRIFT_SQL),
+    "field_policy_classes": (field_policy_classes, CLASSES_SQL),
     "resumable_state": (resumable_state, STATE_SQL),
     "median_runs_ratio_pivot": (median_runs_ratio_pivot, RUNS_SQL),
     "weighted_score_rollup": (weighted_score_rollup, SCORE_SQL),

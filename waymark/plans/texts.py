@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions import scalar, steps
 from waymark.operators import reporting
 from waymark.plans.base import records, rounded, table
+from waymark.plans.records import views_sql
 
 
 def literal_occurrences(spark, sf):
@@ -31,8 +32,8 @@ def section_literals(spark, sf):
     lines = records(spark, sf).select("key", F.posexplode(F.split(view, "\n")).alias("pos", "line"))
     from pyspark.sql import Window
 
-    head = F.nullif(F.regexp_extract("line", "^(ACTION|OBSERVATION): ", 1), F.lit(""))
-    head = F.when(F.col("line").rlike(r"^\[STEP \d+\]$"), F.lit("STEP")).otherwise(head)
+    head = F.nullif(F.regexp_extract("line", "^(ACTION|OBSERVATION|TOOL_NAME|TOOL_INPUT|TOOL_OUTPUT|FOCUSED_ELEMENT):$", 1), F.lit(""))
+    head = F.when(F.col("line").rlike(r"^\[STEP [0-9]+\]$"), F.lit("STEP")).otherwise(head)
     w = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("NONE")))
     literal = F.explode(F.array(F.lit("the"), F.lit("der"))).alias("literal")
@@ -40,6 +41,17 @@ def section_literals(spark, sf):
     return counted.groupBy("section", "literal").agg(F.count("*").alias("lines"), F.sum("n").alias("occurrences"))
 
 
+SECTION_SQL = views_sql(
+    r"""SELECT section, literal, count(*) AS lines, CAST(sum((length(line) - length(replace(line, literal, ''))) // length(literal)) AS BIGINT) AS occurrences FROM (
+    SELECT line, unnest(['the', 'der']) AS literal, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY key ORDER BY pos), 'NONE') AS section FROM (
+        SELECT *, CASE WHEN regexp_full_match(line, '\[STEP [0-9]+\]') THEN 'STEP'
+            ELSE nullif(regexp_extract(line, '^(ACTION|OBSERVATION|TOOL_NAME|TOOL_INPUT|TOOL_OUTPUT|FOCUSED_ELEMENT):$', 1), '') END AS head
+        FROM (SELECT key, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT key, string_split(coalesce(body, '') || chr(10), chr(10)) AS l FROM whole)))
+) GROUP BY section, literal""",
+    "['ablation_without_error_fields']",
+)
+
+
 def normalize_keys(spark, sf):
     """Task ids normalised two ways, and composite keys with their parts."""
     docs = table(spark, sf, "documents")
@@ -51,7 +63,7 @@ def normalize_keys(spark, sf):
 
 KEYS_SQL = """WITH r AS (SELECT doc_id, source, lang, 'task.' || ['improved', 'resized', 'plain'][doc_id % 3 + 1] || '.' || doc_id || '.improved' AS low FROM documents),
 n AS (SELECT *, replace(replace(low, '.improved.', '.'), '.resized.', '.') AS task_id FROM r)
-SELECT doc_id, task_id, replace(low, '.improved', '') AS task_id_anywhere, source || '::' || task_id || '::' || lang AS key, task_id AS part FROM n"""
+SELECT doc_id, task_id, replace(replace(low, '.improved', ''), '.resized', '') AS task_id_anywhere, source || '::' || task_id || '::' || lang AS key, task_id AS part FROM n"""
 
 
 def canonical_hash(spark, sf):
@@ -111,31 +123,35 @@ PATHS_SQL = """SELECT page_id, starts_with(url, 'https:') AND suffix(url, '.html
 
 
 def marker_leaks(spark, sf):
-    """Texts that hold a benchmark's first characters, by item.
+    """Texts that hold a benchmark text, by item.
 
-    Only three-word runs leave the texts, as hashes; they meet those that open a
-    marker, and the few texts that share one are read again to check the marker.
+    White space ends a marker's inner words in any text that holds it, so its
+    second to fourth words stand there as words. Only such three-word runs leave
+    the texts, as hashes; the texts that share one are read again to check the
+    whole marker. Markers of fewer than five words are looked for in all texts.
     """
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    markers = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("marker"))
+    markers = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("marker")).where("marker <> ''")
+    split = F.split("marker", r"\s+")
 
-    def opening(words, at):
+    def run(words, at):
         return F.xxhash64(*[F.get(words, at + i) for i in range(3)])
 
     runs = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 3)
-    hashed = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: opening(F.col("w"), i))))
-    keyed = markers.withColumn("run", opening(F.split("marker", r"\s+"), F.lit(0)))
-    candidates = runs.select("doc_id", hashed.alias("run")).join(keyed, "run").select("doc_id", "item_id", "marker")
-    hits = docs.join(candidates, "doc_id").where(F.contains("text", "marker"))
-    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("texts"), F.count_distinct("source").alias("sources"))
+    hashed = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: run(F.col("w"), i))))
+    keyed = markers.where(F.size(split) >= 5).withColumn("run", run(split, F.lit(1)))
+    candidates = runs.select("doc_id", hashed.alias("run")).join(keyed, "run").select("doc_id", "item_id", "marker").distinct()
+    long = docs.join(candidates, "doc_id").where(F.contains("text", "marker")).select("item_id", "doc_id", "source")
+    short = docs.join(markers.where(F.size(split) < 5), F.contains("text", "marker")).select("item_id", "doc_id", "source")
+    return long.union(short).groupBy("item_id").agg(F.count_distinct("doc_id").alias("texts"), F.count_distinct("source").alias("sources"))
 
 
 LEAKS_SQL = """SELECT item_id, count(DISTINCT doc_id) AS texts, count(DISTINCT d.source) AS sources
-FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY item_id"""
+FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) GROUP BY item_id"""
 
 QUERIES = {
     "literal_occurrences": (literal_occurrences, LITERAL_SQL),
-    "section_literals": (section_literals, None),
+    "section_literals": (section_literals, SECTION_SQL),
     "normalize_keys": (normalize_keys, KEYS_SQL),
     "canonical_hash": (canonical_hash, HASH_SQL),
     "display_rounding": (display_rounding, ROUNDING_SQL),

@@ -90,7 +90,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 
 
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.read_streams(transport_stream.stored_streams(table(spark, sf_dir, "documents")))
+    return transport_stream.read_streams(transport_stream.kept_streams(table(spark, sf_dir, "documents")))
 
 
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

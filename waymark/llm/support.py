@@ -45,6 +45,27 @@ def without_positions(pieces: Column, drop: Column) -> Column:
     return let(pieces, lambda p: let(drop, lambda d: build(p, d)))
 
 
+#: Bits of the bitmap of likely_in(): 8 MB whatever the number of keys, so it can always be broadcast.
+_BITS = 1 << 26
+
+
+def likely_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``keys``: whose bit of a hashed bitmap is not set.
+
+    No row whose value is among them goes, rows with null do. To be used before a join that would shuffle all rows.
+    """
+
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(_BITS)) + 1
+
+    bits = keys.groupBy(F.bitmap_bucket_number(slot(key)).alias("_wm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(key))).alias("_wm_bits"))
+    found = rows.where(F.col(column).isNotNull())
+    placed = found.withColumns({"_wm_bucket": F.bitmap_bucket_number(slot(column)), "_wm_place": F.bitmap_bit_position(slot(column))})
+    byte = F.expr("CAST(conv(hex(substring(_wm_bits, CAST(_wm_place DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    bit = F.call_function("shiftright", byte, F.pmod("_wm_place", F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
+    return placed.join(F.broadcast(bits), "_wm_bucket").where(bit == 1).drop("_wm_bucket", "_wm_place", "_wm_bits")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -62,7 +83,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     Cuts lineage with files that survive the loss of any executor, and gives
@@ -70,7 +91,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,14 +3,20 @@
 ``stored_streams`` writes a payload as 188-byte packets: a program association
 table, a program map table and one elementary stream of packets with
 presentation times; every elementary packet starts at a random-access point.
-``read_streams`` parses any such stream again: it finds the program through the
-tables (whose CRC it checks), verifies continuity counters, reassembles the
-elementary packets and lists times and random-access points.
+``read_streams`` parses any transport stream, whoever wrote it. It assembles
+table sections from as many packets as they take (and checks their CRC), finds
+every elementary stream of every program, verifies continuity counters, joins
+elementary packets of stated or open length, and lists presentation and decoding
+times, program clocks and random-access points. The payload of a stream of
+several is that of the first elementary stream of the first program.
 
 Edge cases: a null or empty text is one block of padding; texts of any length
-are cut into elementary packets of bounded size; equal texts give equal streams;
-bytes that are no stream, or a stream without tables, give an empty payload and
-a feature that says so.
+are cut into elementary packets of bounded size; equal texts (ties, repeated
+rows) give equal streams; an empty table gives an empty one; bytes that are no
+stream, or a stream without tables, give an empty payload and a feature that
+says so. Packets that are marked as damaged, or have no sync byte, count as
+errors and are left out, as are elementary packets with a gap or of a wrong
+size. Columns that bear the name of a result are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .support import stored
+
 PACKET, BLOCK = 188, 192
 _PMT_PID, _ES_PID, _PROGRAM = 0x1000, 0x0100, 1
 #: Payload bytes of an elementary packet, and its time step on the 90 kHz clock.
@@ -113,104 +121,238 @@ def write_stream(payload: bytes) -> bytes:
 
 
 @dataclass
-class Stream:
-    """What a transport stream holds."""
+class Elementary:
+    """An elementary stream: what its packets hold."""
 
+    program: int
+    kind: int
+    pid: int
     payload: bytes = b""
-    packets: int = 0
     units: int = 0
+    broken: int = 0
+    counter_errors: int = 0
     times: list[int] = field(default_factory=list)
+    decoding_times: list[int] = field(default_factory=list)
     access_points: list[int] = field(default_factory=list)
-    counter_errors: int = 0
+
+
+@dataclass
+class Stream:
+    """What a transport stream holds; times on the 90 kHz clock, program clocks on that of 27 MHz."""
+
+    packets: int = 0
+    sync_errors: int = 0
     table_errors: int = 0
-    broken_units: int = 0
+    programs: list[int] = field(default_factory=list)
+    streams: list[Elementary] = field(default_factory=list)
+    clocks: dict[int, list[int]] = field(default_factory=dict)
+
+    @property
+    def first(self) -> Elementary:
+        return self.streams[0] if self.streams else Elementary(0, 0, 0)
+
+    @property
+    def payload(self) -> bytes:
+        return self.first.payload
+
+    @property
+    def units(self) -> int:
+        return self.first.units
+
+    @property
+    def times(self) -> list[int]:
+        return self.first.times
+
+    @property
+    def access_points(self) -> list[int]:
+        return self.first.access_points
+
+    @property
+    def broken_units(self) -> int:
+        return sum(s.broken for s in self.streams)
+
+    @property
+    def counter_errors(self) -> int:
+        return self.sync_errors + sum(s.counter_errors for s in self.streams)
 
     def feature(self) -> str:
-        first, last = (self.times[0], self.times[-1]) if self.times else (-1, -1)
+        one = self.first
+        first, last = (one.times[0], one.times[-1]) if one.times else (-1, -1)
         return (
-            f"packets={self.packets};units={self.units};pts={first}-{last};access={len(self.access_points)};"
-            f"counter_errors={self.counter_errors};table_errors={self.table_errors};broken={self.broken_units}"
+            f"packets={self.packets};streams={len(self.streams)};units={one.units};pts={first}-{last};access={len(one.access_points)};"
+            f"clocks={sum(map(len, self.clocks.values()))};counter_errors={self.counter_errors};table_errors={self.table_errors};broken={one.broken}"
         )
 
 
-_SECTIONS: dict[bytes, tuple[int, bytes] | None] = {}
+_SECTIONS: dict[bytes, tuple[int, int, bytes] | None] = {}
 
 
-def _read_section(body: bytes) -> tuple[int, bytes] | None:
-    """(table id, table body) of a table packet's payload; None if it is damaged."""
-    if body not in _SECTIONS:
+def _read_section(section: bytes) -> tuple[int, int, bytes] | None:
+    """(table id, number, body) of a whole section; None if it is damaged."""
+    if section not in _SECTIONS:
         if len(_SECTIONS) > 1000:
             _SECTIONS.clear()
-        at = 1 + body[0] if body else 0
-        size = int.from_bytes(body[at + 1 : at + 3], "big") & 0x0FFF
-        section = body[at : at + 3 + size]
-        whole = size >= 9 and len(section) == 3 + size and section_crc(section) == 0
-        _SECTIONS[body] = (section[0], section[8:-4]) if whole else None
-    return _SECTIONS[body]
-
-
-def read_stream(data: bytes) -> Stream:
-    """Parse a transport stream; damage is counted, and units with a gap or a wrong size are left out."""
-    found = Stream()
-    n = len(data) // PACKET
-    grid = np.frombuffer(data, np.uint8, n * PACKET).reshape(n, PACKET)
-    grid = grid[grid[:, 0] == 0x47] if n else grid
-    found.packets = len(grid)
-    found.counter_errors += n - len(grid)
-    pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    adapted, loaded = (grid[:, 3] & 0x20) > 0, (grid[:, 3] & 0x10) > 0
-    begin = np.where(adapted, 5 + grid[:, 4].astype(np.int32), 4)
-
-    def tables(of: int, wanted: int) -> Iterator[bytes]:
-        for i in np.flatnonzero((pid == of) & loaded & ((grid[:, 1] & 0x40) > 0)).tolist():
-            got = _read_section(grid[i, begin[i] :].tobytes())
-            if got is None or got[0] != wanted:
-                found.table_errors += 1
-            else:
-                yield got[1]
-
-    maps = [int.from_bytes(b[i + 2 : i + 4], "big") & 0x1FFF for b in tables(0, 0) for i in range(0, len(b) - 3, 4) if b[i : i + 2] != b"\0\0"]
-    stream = None
-    for at in dict.fromkeys(maps):
-        for body in tables(at, 2):
-            i = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
-            if stream is None and i + 5 <= len(body):
-                stream = int.from_bytes(body[i + 1 : i + 3], "big") & 0x1FFF
-    if stream is None:
-        found.table_errors += 1
+        whole = len(section) >= 12 and section_crc(section) == 0
+        _SECTIONS[section] = (section[0], int.from_bytes(section[3:5], "big"), section[8:-4]) if whole else None
+    return _SECTIONS[section]
+
+
+class _Packets:
+    """The packets of a transport stream as an array, with their headers."""
+
+    def __init__(self, data: bytes) -> None:
+        # Packets start where one sync byte follows another.
+        starts = (i for i in range(min(PACKET, len(data))) if data[i] == 0x47 and (i + PACKET >= len(data) or data[i + PACKET] == 0x47))
+        skip = next(starts, 0)
+        n = (len(data) - skip) // PACKET
+        grid = np.frombuffer(data, np.uint8, n * PACKET, skip).reshape(n, PACKET)
+        adaptation = np.where(grid[:, 3] & 0x20, grid[:, 4].astype(np.int32) + 1, 0) if n else np.zeros(0, np.int32)
+        sound = (grid[:, 0] == 0x47) & ((grid[:, 1] & 0x80) == 0) & (adaptation <= 184)
+        self.errors = int(n - sound.sum()) + (skip > 0)
+        self.grid = grid = grid[sound] if not sound.all() else grid
+        self.begin = 4 + (adaptation[sound] if not sound.all() else adaptation)
+        self.pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
+        self.loaded = ((grid[:, 3] & 0x10) > 0) & (self.begin < PACKET)
+        self.starts = (grid[:, 1] & 0x40) > 0
+        self.flags = np.where(self.begin > 5, grid[:, 5], 0)
+
+    def of(self, pid: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the packets with payload, whether one is lost before each); repeated packets are left out."""
+        mine = np.flatnonzero((self.pid == pid) & self.loaded)
+        if not len(mine):
+            return mine, np.zeros(0, bool)
+        count = self.grid[mine, 3] & 15
+        again = np.r_[False, (count[1:] == count[:-1]) & (self.grid[mine[1:], 4:] == self.grid[mine[:-1], 4:]).all(axis=1)]
+        mine, count = mine[~again], count[~again]
+        # A packet that announces a discontinuity may have any number.
+        told = (self.flags[mine] & 0x80) > 0
+        return mine, np.r_[False, ((count[1:] - count[:-1]) & 15 != 1) & ~told[1:]]
+
+    def body(self, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(payloads of the packets, one after the other; where each starts and the last ends)."""
+        begin = self.begin[places]
+        inside = np.arange(PACKET)[None, :] >= begin[:, None]
+        return self.grid[places][inside].tobytes(), np.r_[0, np.cumsum(PACKET - begin)]
+
+    def sections(self, pid: int) -> Iterator[bytes | None]:
+        """Whole sections of a table's packets, from as many packets as each takes; None for one that is lost."""
+        places, gap = self.of(pid)
+        held = b""
+        for i, lost in zip(places.tolist(), gap.tolist(), strict=True):
+            body = self.grid[i, self.begin[i] :].tobytes()
+            if lost and held:
+                yield None
+                held = b""
+            if self.starts[i]:
+                pointer = body[0]
+                yield from self._cut(held + body[1 : 1 + pointer]) if held else ()
+                held = body[1 + pointer :]
+            elif held:
+                held += body
+            while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)):
+                yield held[:size]
+                held = held[size:]
+            if held[:1] == b"\xff":
+                held = b""
+        if held:
+            yield None
+
+    @staticmethod
+    def _cut(held: bytes) -> Iterator[bytes | None]:
+        size = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+        yield held[:size] if len(held) >= max(3, size) else None
+
+    def clocks(self, pid: int) -> list[int]:
+        """Program clock references of a packet identifier's adaptation fields, on the 27 MHz clock."""
+        rows = self.grid[(self.pid == pid) & ((self.flags & 0x10) > 0) & (self.begin >= 12), 6:12]
+        raw = [int.from_bytes(r.tobytes(), "big") for r in rows]
+        return [(x >> 15) * 300 + (x & 0x1FF) for x in raw]
+
+
+def _time_of(raw: bytes) -> int:
+    a, b, c, d, e = raw
+    return (a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | d << 7 | e >> 1
+
+
+#: Stream ids whose packets have no header of times, and the one of padding.
+_BARE, _PADDING = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
+def _read_elementary(packets: _Packets, found: Elementary) -> Elementary:
+    places, gap = packets.of(found.pid)
+    found.counter_errors = int(gap.sum())
+    found.access_points = np.flatnonzero((packets.flags[places] & 0x40) > 0).tolist()
+    first = np.flatnonzero(packets.starts[places])
+    if not len(first):
         return found
-    mine = np.flatnonzero((pid == stream) & loaded & (begin < PACKET))
-    count = grid[mine, 3] & 15
-    # A packet may be sent twice; the copy does not count.
-    again = np.r_[False, (count[1:] == count[:-1]) & (grid[mine[1:]] == grid[mine[:-1]]).all(axis=1)] if len(mine) else np.zeros(0, bool)
-    mine, count = mine[~again], count[~again]
-    gap = np.r_[False, (count[1:] - count[:-1]) & 15 != 1] if len(mine) else np.zeros(0, bool)
-    found.counter_errors += int(gap.sum())
-    starts = (grid[mine, 1] & 0x40) > 0
-    access = adapted[mine] & (begin[mine] > 5) & ((grid[mine, 5] & 0x40) > 0)
-    found.access_points = np.flatnonzero(access).tolist()
-    size = PACKET - begin[mine]
-    body = grid[mine][np.arange(PACKET)[None, :] >= begin[mine][:, None]].tobytes()
-    edge = np.r_[0, np.cumsum(size)]
-    first = np.flatnonzero(starts)
-    damaged = np.add.reduceat(gap & ~starts, first) > 0 if len(first) else np.zeros(0, bool)
+    body, edge = packets.body(places)
+    damaged = np.add.reduceat(gap & ~packets.starts[places], first) > 0
     kept = []
     for k, i in enumerate(first.tolist()):
-        end = first[k + 1] if k + 1 < len(first) else len(mine)
+        end = first[k + 1] if k + 1 < len(first) else len(places)
         unit = body[edge[i] : edge[end]]
         found.units += 1
-        size_of = int.from_bytes(unit[4:6], "big")
-        if unit[:4] != b"\0\0\x01\xbd" or size_of + 6 != len(unit) or len(unit) < 9 or damaged[k]:
-            found.broken_units += 1
+        stated = int.from_bytes(unit[4:6], "big")
+        bare = unit[3:4] and unit[3] in _BARE
+        head = 6 if bare else 9 + unit[8] if len(unit) >= 9 else 9
+        # A length of 0 is open: the packet ends where the next one starts.
+        last = 6 + stated if stated else len(unit)
+        if unit[:3] != b"\0\0\x01" or last > len(unit) or head > last or damaged[k]:
+            found.broken += 1
             continue
-        if unit[7] & 0x80:
-            a, b, c, d, e = unit[9:14]
-            found.times.append((a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | d << 7 | e >> 1)
-        kept.append(unit[9 + unit[8] :])
+        if not bare and unit[7] & 0x80 and unit[8] >= 5:
+            found.times.append(_time_of(unit[9:14]))
+            if unit[7] & 0x40 and unit[8] >= 10:
+                found.decoding_times.append(_time_of(unit[14:19]))
+        if unit[3] != _PADDING:
+            kept.append(unit[head:last])
     found.payload = b"".join(kept)
     return found
 
 
+def read_stream(data: bytes) -> Stream:
+    """Parse a transport stream; damage is counted."""
+    packets = _Packets(data)
+    found = Stream(len(packets.grid), packets.errors)
+
+    def tables(pid: int, wanted: int) -> Iterator[tuple[int, bytes]]:
+        for section in packets.sections(pid):
+            got = _read_section(section) if section is not None else None
+            if got is None:
+                found.table_errors += 1
+            elif got[0] == wanted:
+                yield got[1:]
+
+    maps: dict[int, int] = {}
+    for _, body in tables(0, 0):
+        for i in range(0, len(body) - 3, 4):
+            # Program 0 names the network table.
+            if number := int.from_bytes(body[i : i + 2], "big"):
+                maps.setdefault(number, int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF)
+    read: dict[int, list[tuple[int, bytes]]] = {}
+    seen: set[int] = set()
+    for program, pid in maps.items():
+        if pid not in read:
+            read[pid] = list(tables(pid, 2))
+        body = next((b for number, b in read[pid] if number == program and len(b) >= 4), None)
+        if body is None:
+            continue
+        found.programs.append(program)
+        clock = int.from_bytes(body[0:2], "big") & 0x1FFF
+        if clock != 0x1FFF and clock not in found.clocks:
+            found.clocks[clock] = packets.clocks(clock)
+        i = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+        while i + 5 <= len(body):
+            stream = int.from_bytes(body[i + 1 : i + 3], "big") & 0x1FFF
+            if stream not in seen:
+                seen.add(stream)
+                found.streams.append(_read_elementary(packets, Elementary(program, body[i], stream)))
+            i += 5 + (int.from_bytes(body[i + 3 : i + 5], "big") & 0x0FFF)
+    if not found.streams:
+        found.table_errors += 1
+    return found
+
+
 def padded(text: str | None) -> tuple[int, bytes]:
     """(bytes of the text, payload): the UTF-8 text, filled with spaces to a positive multiple of the block."""
     raw = (text or "").encode("utf-8")
@@ -236,6 +378,11 @@ def stored_streams(docs: DataFrame) -> DataFrame:
 _DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, access_points array<long>"
 
 
+def kept_streams(docs: DataFrame) -> DataFrame:
+    """``stored_streams`` written to a table in the shared folder and read back."""
+    return stored(stored_streams(docs), "media", compression="zstd")
+
+
 def read_streams(rows: DataFrame, media: str = "media") -> DataFrame:
     """``rows`` with digests and features in place of the media column; all are read back from its bytes."""
     names = [d.split(" ")[0] for d in _DIGEST.split(", ")]

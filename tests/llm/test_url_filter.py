@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from waymark.llm import url_filter as uf
 
 CASES = {
@@ -47,3 +49,20 @@ def test_terms_inside_each_other(spark):
     urls = spark.createDataFrame([(1, "x://h/ab"), (2, "x://h/a-b"), (3, "x://h/a b"), (4, "x://h/" + "a/" * 50_000)], "page_id long, url string")
     found = {r.page_id: (r.verdict, r.strict_hits, r.soft_terms) for r in uf.judged(urls, (), words).collect()}
     assert found == {1: ("allow", 0, 1), 2: ("block", 0, 2), 3: ("block", 1, 2), 4: ("allow", 0, 1)}
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [("Casino", "strict"), ("free", "soft"), ("free", "soft"), ("win", "soft"), (None, "soft"), ("", "strict")]
+    words = uf.vocabulary_of(spark.createDataFrame(rows, "term string, kind string"))
+    assert words == uf.Vocabulary(("casino",), ("free", "win"), 2)
+    with pytest.raises(ValueError, match="more than 1"):
+        uf.vocabulary_of(spark.createDataFrame(rows, "term string, kind string"), most=1)
+    for bad in [("a-b", "soft"), ("a", "odd")]:
+        with pytest.raises(ValueError, match="another kind"):
+            uf.vocabulary_of(spark.createDataFrame([bad], "term string, kind string"))
+
+
+def test_clashing_names_and_long_urls_pass(spark):
+    rows = [(1, "http://a.com/casino", "keep", 7), (2, "http://a.com/" + "x" * 300_000, "keep", 8), (3, "", None, None)]
+    found = uf.judged(spark.createDataFrame(rows, "page_id long, url string, _rule string, soft_terms long")).orderBy("page_id").collect()
+    assert [(r._rule, r.verdict, r.soft_terms) for r in found] == [("keep", "block", 0), ("keep", "allow", 0), (None, "allow", 0)]

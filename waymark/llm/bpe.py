@@ -13,9 +13,11 @@ The vocabulary file is read where the work is done (its path is a parameter).
 Normalisation is that of the file's own normalizer. Pieces between white space
 are independent of each other, so their ids are remembered by piece.
 
-Edge cases: null texts are encoded as empty ones (no ids); special tokens that
-stand in a text become their ids; a word of any length costs n log n; repeated
-rows get equal results.
+Edge cases: null and empty texts have no ids; special tokens that stand in a text
+become their ids; a text of any length is encoded whole, and a word of any length
+costs n log n; of merges of equal rank the leftmost comes first; repeated rows
+get equal results; an empty table gives an empty one. Other columns pass
+unchanged; ``ids`` and ``decoded`` replace input columns of that name.
 """
 
 from __future__ import annotations

@@ -13,11 +13,13 @@ order system, user, assistant, looking from the last turn to the first.
 Conversations are formed by a hash shuffle and a sort and are read as a stream;
 a task holds one conversation at a time, whose rendering is one value anyway.
 
-Edge cases: unknown and null roles cost a relabelling; null texts are empty;
-rows without conv_id are conversations of one turn each, as nothing tells which
-of them belong together; repeated rows are turns of their own (and merge);
-control marks that stand in a text are defused by a space; other columns are
-not used.
+Edge cases: unknown and null roles cost a relabelling; null texts are empty, and
+texts of any length pass whole; rows without conv_id are conversations of one
+turn each, as nothing tells which of them belong together; repeated rows are
+turns of their own (and merge); turns that tie in number, role and text are
+equal, so their order does not matter; control marks that stand in a text are
+defused by a space; an empty table gives an empty one. Other columns are not
+used, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -10,8 +10,14 @@ directory (prefix -> shard) is joined back on the prefix.
 A shard that cannot be split (one row, or rows equal in id and text, beyond the
 limit) is left as it is and marked ``oversized``.
 
-Edge cases: a null text has no bytes; rows without doc_id hash by their text;
-an empty table has no shards.
+A shard becomes a folder only where that gives at most ``MAX_FOLDERS`` of them;
+:func:`write_shards` refuses a limit that asks for more.
+
+Edge cases: a null or empty text has no bytes; a text of any length stays in one
+shard; rows without doc_id hash by their text; repeated rows (and ties between
+digests) share a shard; an empty table has no shards. :func:`sharded` uses no
+other columns, so their names cannot clash; :func:`write_shards` keeps all
+columns but an input column ``shard``, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,9 +27,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import stored
+from .support import discard, stored
 
 BITS = 60
+MAX_FOLDERS = 100_000
 _STEP = 12
 
 
@@ -78,9 +85,15 @@ def write_shards(docs: DataFrame, limit: int, path: str) -> None:
 
     The assignment joins back on the hash bits, which equal rows share.
     """
-    kept = [c for c in docs.columns if c not in ("_bits", "shard")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], hash_bits(F.col("doc_id"), F.col("text")).alias("_bits"))
+    kept = [c for c in docs.columns if c != "shard"]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], hash_bits(F.col("doc_id"), F.col("text")).alias("_wm_bits"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    sized = stored(keyed.groupBy(F.col("_bits").alias("bits")).agg(F.sum(n_bytes).alias("n_bytes")), "sizes")
-    shards = directory(sized, limit).select(F.col("bits").alias("_bits"), F.concat_ws("-", "depth", "prefix").alias("shard"))
-    keyed.join(shards, "_bits").drop("_bits").repartition("shard").write.partitionBy("shard").parquet(path)
+    sized = stored(keyed.groupBy(F.col("_wm_bits").alias("bits")).agg(F.sum(n_bytes).alias("n_bytes")), "sizes")
+    shards = directory(sized, limit).select(F.col("bits").alias("_wm_bits"), F.concat_ws("-", "depth", "prefix").alias("shard"))
+    shards = stored(shards, "shards")
+    many = shards.select("shard").distinct().count()
+    if many > MAX_FOLDERS:
+        raise ValueError(f"{many} shards: a folder for each is too many; raise the limit of bytes")
+    keyed.join(shards, "_wm_bits").drop("_wm_bits").repartition("shard").write.partitionBy("shard").parquet(path)
+    for table in (sized, shards):
+        discard(table)

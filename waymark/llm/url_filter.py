@@ -6,9 +6,16 @@ their words: an Aho-Corasick automaton finds all terms of the vocabulary in one
 pass over the lower-cased url, matches count where no letter or digit adjoins,
 and a url is blocked for one strict term or for several distinct soft ones.
 
-Edge cases: a null url, or one without ``://``, has empty host and path; no rule
-fits an empty host; a null url has no terms and is allowed; repeated rows get
-equal verdicts. Input columns that bear the name of a result are replaced.
+The vocabulary is a parameter: two lists, or a table (term, kind). It is carried
+to the executors with the plan, and :func:`vocabulary_of` refuses a table beyond
+a stated number of terms.
+
+Edge cases: a null or empty url, or one without ``://``, has empty host and path;
+no rule fits an empty host; a null url has no terms and is allowed; urls of any
+length are read in one pass; of rules of equal length that fit, the last by text
+decides; a term that stands in both lists is strict; repeated rows get equal
+verdicts; an empty table gives an empty one. Input columns that bear the name of
+a result are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_EDGE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,11 +60,32 @@ RULES = (
 class Vocabulary:
     """Terms of letters and digits: one strict term blocks, or ``enough`` distinct soft ones."""
 
-    strict: tuple[str, ...] = ("casino", "porn", "xxx", "viagra", "betting", "escort", "warez")
-    soft: tuple[str, ...] = ("spam", "farm", "free", "win", "bonus", "cheap", "adult", "poker", "loan", "pills", "prize", "deal")
+    strict: tuple[str, ...] = (
+        "porn", "porno", "pornography", "xxx", "xvideos", "hentai", "camgirl", "camgirls", "camsex", "sexcam", "sexcams", "milf",
+        "nudes", "escort", "escorts", "casino", "kasino", "betting", "sportsbook", "jackpot", "slots", "roulette",
+        "viagra", "cialis", "levitra", "xanax", "tramadol", "warez", "keygen", "serialz", "crackz", "phishing", "malware",
+    )
+    soft: tuple[str, ...] = (
+        "adult", "sex", "sexy", "nude", "naked", "hot", "dating", "singles", "hookup", "webcam", "cams", "poker", "bingo", "lotto",
+        "lottery", "bet", "bets", "odds", "gambling", "spam", "farm", "free", "win", "winner", "prize", "bonus", "promo", "coupon",
+        "cheap", "discount", "deal", "deals", "sale", "buy", "order", "loan", "loans", "credit", "payday", "forex", "crypto",
+        "pills", "pharmacy", "drugs", "diet", "slim", "torrent", "crack", "hack", "cheats", "download", "clickbait", "popup",
+        "traffic", "seo", "backlinks", "replica", "earn", "rich", "casinobonus",
+    )
     enough: int = 2
 
 
+def vocabulary_of(rows: DataFrame, enough: int = 2, most: int = 200_000) -> Vocabulary:
+    """The vocabulary of a table (term, kind), kind being strict or soft; an error beyond ``most`` terms."""
+    terms = rows.where("term IS NOT NULL AND term <> ''").select(F.translate("term", _UPPER, _LOWER).alias("term"), "kind").distinct()
+    found = terms.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    if bad := [r.term for r in found if r.kind not in ("strict", "soft") or not set(r.term) <= _EDGE]:
+        raise ValueError(f"terms of another kind, or of other characters than letters and digits: {sorted(bad)[:5]}")
+    return Vocabulary(*[tuple(sorted(r.term for r in found if r.kind == kind)) for kind in ("strict", "soft")], enough)
+
+
 def host_of(url: Column) -> Column:
     """From the first ``://`` to the next ``/``, ``?`` or ``#``, with A-Z lower-cased; empty without ``://``."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
@@ -87,10 +116,11 @@ def term_hits(urls: DataFrame, vocabulary: Vocabulary, url: str = "url") -> Data
 
         finder = ahocorasick.Automaton()
         # A term in both lists counts as strict.
+        strict_terms = frozenset(vocabulary.strict)
         for term in (*vocabulary.soft, *vocabulary.strict):
-            finder.add_word(term, (term, term in vocabulary.strict))
+            finder.add_word(term, (term, term in strict_terms))
         finder.make_automaton()
-        edge = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+        edge = _EDGE
         for batch in batches:
             strict, soft = [], []
             for value in batch.column(at).to_pylist():
@@ -118,9 +148,7 @@ def judged(urls: DataFrame, rules: Iterable[Rule] = RULES, vocabulary: Vocabular
     """``urls`` with host, path, rule, verdict, strict_hits and soft_terms."""
     found = term_hits(urls.drop("host", "path", "rule", "verdict"), vocabulary, url)
     split = found.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
-    chosen = split.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    chosen = fitting_rule(F.col("host"), F.col("path"), rules)
     blocked = (F.col("strict_hits") > 0) | (F.col("soft_terms") >= vocabulary.enough)
-    allow = F.coalesce(F.col("_rule.allow"), ~blocked)
-    return chosen.withColumns(
-        {"rule": F.col("_rule.pattern"), "verdict": F.when(allow, F.lit("allow")).otherwise(F.lit("block"))}
-    ).drop("_rule")
+    allow = F.coalesce(chosen["allow"], ~blocked)
+    return split.withColumns({"rule": chosen["pattern"], "verdict": F.when(allow, F.lit("allow")).otherwise(F.lit("block"))})

@@ -47,10 +47,52 @@ def test_a_large_group_of_near_copies_in_small_blocks(docs_of):
         for _ in range(draw.randint(0, 6)):
             copy[draw.randrange(len(copy))] = f"x{draw.randrange(10_000)}"
         rows.append((i, " ".join(copy)))
-    found = nd.similar_components(docs_of(rows), 3, 85, block_docs=7).collect()
+    found = nd.similar_components(docs_of(rows), 3, 85, part_docs=7).collect()
     assert sorted(map(tuple, found)) == brute(rows, 3, 85)
 
 
+def test_a_chain_of_half_similar_documents_stays_linear(docs_of, monkeypatch):
+    words = [f"w{i}" for i in range(3400)]
+    chain = [(i, " ".join(words[10 * i : 10 * i + 30])) for i in range(300)]
+    chain += [(1000 + i, " ".join([*words[10 * i : 10 * i + 29], "other"])) for i in range(0, 300, 3)]
+    met, meet = [], nd._meet
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return meet(pairs, sets, percent)
+
+    monkeypatch.setattr(nd, "_meet", counted)
+    # A wide first banding, so that pairs of similarity 0.5 meet in many buckets.
+    monkeypatch.setattr(nd, "banding", lambda percent: (60, 2))
+    found = nd.similar_components(docs_of(chain), 3, 85).collect()
+    assert sorted(map(tuple, found)) == brute(chain, 3, 85)
+    assert sum(not r.kept for r in found) == 100
+    assert sum(met) < 60 * len(chain)
+
+
+def test_buckets_of_much_shared_text_are_narrowed(docs_of):
+    draw = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"x{draw.randrange(10**6)}" for _ in range(30))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(0, 120, 10)]
+    found = nd.similar_components(docs_of(rows), 3, 85, part_docs=20, split=10).collect()
+    assert sorted(map(tuple, found)) == brute(rows, 3, 85)
+    assert sum(not r.kept for r in found) == 12
+
+
+def test_recall_at_the_threshold(docs_of):
+    draw = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = [f"w{i}x{draw.randrange(10**6)}" for _ in range(draw.choice((9, 42, 62)))]
+        # Sets of n shingles that differ in the last ones: similarity (n - k) / (n + k).
+        copy = list(words)
+        k = max(1, len(words) // 14)
+        copy[-k:] = [f"y{j}" for j in range(k)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert sorted(map(tuple, nd.similar_components(docs_of(rows), 3, 85).collect())) == brute(rows, 3, 85)
+
+
 def test_ids_that_are_null_or_repeated(docs_of):
     text = "one two three four five six seven eight"
     rows = [(None, text), (None, None), (4, text), (4, text), (9, text), (2, None), (3, " ")]

@@ -3,25 +3,36 @@
 A document's set holds its distinct word shingles. Under each permutation both
 the least and the greatest hash are kept, so a signature of ``2 * permutations``
 values costs half the hash evaluations; signature rows of ``rows`` values are
-banded. The plan has these steps, none of which gathers a group in one task:
+banded. Documents meet in buckets, one for each band key; only links that are
+confirmed on full sets join them:
 
 1. texts -> (set size, 128-bit digest of the set, band keys); equal sets fold
    into one representative, so copies of any number cost one row from here on;
-2. representatives that share a band key are joined to the least of them; the
-   connected components of these candidate links hold every pair that shares a
-   band;
-3. the sets of representatives in such components are compared exactly, a block
-   of a bounded number of shingles against another block per task, and each task
-   emits the links of a spanning forest only;
-4. connected components of the confirmed links, spread back over all copies.
-
-A band is missed at similarity s with probability 1 - s**rows; the parameters
-of :func:`banding` put the chance to lose a link at the threshold below 1e-6.
-
-Edge cases: a text without words (or null) has an empty set and is linked with
-nothing; with fewer words than a shingle the whole sequence is one shingle; rows
-that share a doc_id are one document in the links, each with its own set size;
-a row without doc_id cannot be named, so it gets no component and is kept.
+   buckets of the same members count once;
+2. the members of all buckets with the same least member meet that one and, in
+   parts of a bounded number of sets, each other. The links found there make
+   components;
+3. a bucket whose members are of one component is done. In any other one, the
+   members outside of its largest component meet all its members, part by part;
+   a part meets another part in one task. A bucket with very many such members
+   is first cut into the buckets of a second, narrower banding;
+4. connected components of all links, spread back over all copies.
+
+So rows shuffled grow with the sizes of buckets, not of what buckets chain
+together, and all pairs of a bucket that are not linked already are compared.
+
+A pair of similarity s shares a band with probability s**rows; the parameters of
+:func:`banding` put the chance to lose a link at the threshold below 1e-6, taken
+that signature values agree independently. The least and the greatest hash of
+small sets do not quite: for 7 against 6 shingles 1.24e-6 was measured.
+
+Edge cases: a null or blank text has an empty set and is linked with nothing;
+with fewer words than a shingle the whole sequence is one shingle; texts of any
+length are hashed whole, a stretch at a time; rows that share a doc_id are one
+document in the links, each with its own set size; a row without doc_id cannot
+be named, so it gets no component and is kept; ties cannot occur, as the least
+doc_id names a component; an empty table gives an empty one. Other columns are
+not used, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,11 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .support import stored
+from .support import discard, likely_in, stored
 
 #: Hashes of one step of a signature: bounds the memory that a long text needs.
 _CHUNK = 2048
@@ -44,7 +55,7 @@ _WORDS_KEPT = 400_000
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(bands, rows) for a similarity of at least ``percent`` / 100: both fit in 180 signature values where that suffices."""
+    """(bands, rows) for a similarity of at least ``percent`` / 100: both fit in 190 signature values where that suffices."""
     for rows in range(8, 0, -1):
         agree = min(0.999, (percent / 100) ** rows)
         bands = math.ceil(math.log(1e-6) / math.log1p(-agree))
@@ -53,6 +64,18 @@ def banding(percent: int) -> tuple[int, int]:
     raise AssertionError
 
 
+def narrow_banding(percent: int, most: int = 1200) -> tuple[int, int]:
+    """(bands, rows) of the second banding: as many rows a band as ``most`` signature values allow."""
+    found = (1, 1)
+    for rows in range(1, 40):
+        agree = min(0.999, (percent / 100) ** rows)
+        bands = math.ceil(math.log(1e-6) / math.log1p(-agree))
+        if bands * rows > most:
+            break
+        found = bands, rows
+    return found
+
+
 class Shingler:
     """64-bit hashes of the distinct word shingles of texts."""
 
@@ -115,14 +138,13 @@ class MinMax:
         return key.view(np.int64)
 
 
-def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def features(docs: DataFrame, width: int, bands: int, rows: int, seed: int = 20_240_601) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, bands) for each row of (doc_id, text); d1, d2: digest of the set."""
-    bands, rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingle, minmax = Shingler(width), MinMax(bands, rows)
+        shingle, minmax = Shingler(width), MinMax(bands, rows, seed)
         for batch in batches:
             n, d1, d2, keys, offsets = [], [], [], [], [0]
             for text in batch.column(1):
@@ -144,15 +166,15 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _set_bytes(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` (node, comp, block, blocks, text) with the text's set in place of the text."""
+    """``rows`` (node, text) with the text's set, as bytes, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            sets = pa.array([shingle(t.as_py()).tobytes() for t in batch.column(4)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], ["node", "comp", "block", "blocks", "shingles"])
+            sets = pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, comp long, block int, blocks int, shingles binary")
+    return rows.mapInArrow(run, "node long, shingles binary")
 
 
 def _linked(sets: list[np.ndarray], side: list[bool], percent: int) -> Iterator[tuple[int, int]]:
@@ -205,7 +227,7 @@ def _linked(sets: list[np.ndarray], side: list[bool], percent: int) -> Iterator[
 
 
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of sorted rows (comp, low, high, side, node, shingles), group by group."""
+    """Links (a, b) of sorted rows (group, low, high, side, node, shingles), group by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, side = None, [], [], []
@@ -240,28 +262,98 @@ def _nodes(found: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(node, component) of representatives that share a band key, directly or through others."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    buckets = stored(buckets, "buckets")
-    links = keyed.join(buckets.select("key", "least"), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return connected_components(links)
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """(key, least) of the buckets of (key, node) with several members; of those with the same members only one."""
+    sign = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sign{i}") for i in (0, 1)]
+    found = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), *sign).where("size > 1")
+    return found.groupBy("least", "size", "sign0", "sign1").agg(F.min("key").alias("key")).select("key", "least")
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the representatives ``nodes`` (node); most other texts are not shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return likely_in(texts, "node", nodes, "node").join(nodes, "node")
+
+
+def _parts(sizes: DataFrame, group: list[str], part_docs: int, part_shingles: int) -> DataFrame:
+    """(group, parts): into how many parts the members of a group are cut, from (group, node, n)."""
+    many = F.greatest(F.count("*") / part_docs, F.sum("n") / part_shingles)
+    return sizes.groupBy(*group).agg(F.ceil(many).cast("int").alias("parts"))
+
+
+def _part_of(parts: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(7)), F.col(parts)).cast("int")
+
+
+def _meet(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members (group, low, high, side, node) that meet in a task."""
+    rows = pairs.join(sets, "node").select("group", "low", "high", "side", "node", "shingles")
+    grouped = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
+    return _confirm(grouped, percent)
+
+
+def _first_links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, part_docs: int, part_shingles: int) -> DataFrame:
+    """Links between the members of buckets with the same least member: with that one, and within parts."""
+    around = members.where("node <> least").select(F.col("least").alias("group"), "node").distinct().join(sizes, "node")
+    parts = _parts(around, ["group"], part_docs, part_shingles)
+    own = around.join(parts, "group").select("group", _part_of("parts").alias("low"), "node")
+    hubs = parts.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), F.col("group").alias("node"))
+    both = own.unionByName(hubs).withColumns({"high": F.lit(0), "side": F.lit(True)})
+    return _meet(both, sets, percent)
 
 
-def _blocks(candidates: DataFrame, nodes: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
-    """(node, comp, block, blocks): the blocks that a candidate component is cut into."""
-    sized = candidates.join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
-    per = sized.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_shingles)).cast("int").alias("blocks")
+def _open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, node, main) of the buckets with members of several components; main: of the one with most members."""
+    placed = members.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("times"))
+    largest = counts.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("times", -F.col("component"))).alias("top"))
+    open_ = largest.where("several > 1").select("key", (-F.col("top.col2")).alias("main"))
+    return placed.join(open_, "key").select("key", "node", (F.col("component") == F.col("main")).alias("main"))
+
+
+def _last_links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, part_docs: int, part_shingles: int) -> DataFrame:
+    """Links of members (key, node, main) outside of the main component with all members of their bucket."""
+    sized = members.join(sizes, "node")
+    parts = _parts(sized, ["key", "main"], part_docs, part_shingles)
+    per = parts.groupBy("key").agg(
+        F.max(F.when(F.col("main"), F.col("parts"))).alias("mains"), F.max(F.when(~F.col("main"), F.col("parts"))).alias("others")
+    )
+    placed = sized.join(per, "key").withColumn("part", F.when(F.col("main"), _part_of("mains")).otherwise(_part_of("others")))
+    # Parts are numbered from 0 outside of the main component and from -1 downwards within it.
+    outside = F.sequence(F.lit(0), F.col("others") - 1)
+    inside = F.sequence(-F.col("mains"), F.lit(-1))
+    met = F.when(F.col("main"), outside).otherwise(F.concat(outside, inside))
+    number = F.when(F.col("main"), -1 - F.col("part")).otherwise(F.col("part"))
+    meets = placed.select("key", "node", number.alias("part"), F.explode(met).alias("other"))
+    pairs = meets.select(
+        F.col("key").alias("group"),
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+        (F.col("part") < F.col("other")).alias("side"),
+        "node",
     )
-    whole = sized.join(per, "component")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    return whole.select("node", F.col("component").alias("comp"), block.alias("block"), "blocks")
+    return _meet(pairs, sets, percent)
+
+
+def _narrowed(members: DataFrame, docs: DataFrame, width: int, percent: int, split: int) -> DataFrame | None:
+    """Members (key, node), buckets of more than ``split`` members outside of the main component cut by the second banding.
+
+    None where there is no such bucket.
+    """
+    counted = members.groupBy("key").agg(F.count_if(~F.col("main")).alias("others"))
+    large = stored(counted.where(F.col("others") > split).select("key"), "large")
+    if large.isEmpty():
+        return None
+    wide = stored(members.join(large, "key").select("key", "node"), "wide")
+    texts = _texts_of(docs, wide.select("node").distinct()).select(F.col("node").alias("doc_id"), "text")
+    keys = features(texts, width, *narrow_banding(percent), seed=20_250_917).select(F.col("doc_id").alias("node"), F.explode("bands").alias("second"))
+    cut = wide.join(keys, "node").select(F.xxhash64("key", "second").alias("key"), "node")
+    several = cut.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return members.join(large, "key", "left_anti").select("key", "node").unionByName(cut.join(several, "key").select("key", "node"))
 
 
 def similar_components(
-    docs: DataFrame, width: int = 5, percent: int = 80, block_docs: int = 384, block_shingles: int = 1_000_000
+    docs: DataFrame, width: int = 5, percent: int = 80, part_docs: int = 384, part_shingles: int = 1_000_000, split: int = 8192
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -269,26 +361,27 @@ def similar_components(
     similarity of at least ``percent`` / 100. component_id: the smallest doc_id
     reachable over links, itself included; kept: doc_id is that one.
     """
-    found = stored(features(docs, width, percent), "minmax")
+    found = stored(features(docs, width, *banding(percent)), "minmax")
     nodes = stored(_nodes(found), "sets")
-    blocks = _blocks(_candidates(nodes), nodes, block_docs, block_shingles)
-    # Only one row's text is needed for a set: that of the representative.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = _set_bytes(blocks.join(texts, "node").select("node", "comp", "block", "blocks", "text"), width)
-    # A block meets every other block of its component, and itself, once.
-    meets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = meets.select(
-        "comp",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        (F.col("block") < F.col("other")).alias("side"),
-        "node",
-        "shingles",
-    )
-    grouped = pairs.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high", "node")
-    members = connected_components(_confirm(grouped, percent))
-    placed = found.join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(members, "node", "left")
+    sizes = nodes.groupBy("node").agg(F.max("n_shingles").alias("n"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    # Stored, so both sides of the join are shuffled for it alone and a hot bucket's partition can be split.
+    buckets = stored(_buckets(keyed), "buckets")
+    members = stored(keyed.join(buckets, "key"), "members")
+    several = members.select("node").distinct()
+    sets = stored(_set_bytes(_texts_of(docs, several), width), "shingles")
+    first = stored(_first_links(members, sizes, sets, percent, part_docs, part_shingles), "links")
+    joined = stored(connected_components(first), "joined")
+    open_ = stored(_open_buckets(members, joined), "open")
+    narrowed = _narrowed(open_, docs, width, percent, split)
+    if narrowed is not None:
+        open_ = stored(_open_buckets(narrowed, joined), "open")
+    last = stored(_last_links(open_, sizes, sets, percent, part_docs, part_shingles), "links")
+    reached = connected_components(first.unionByName(last))
+    placed = found.join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(reached, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    result = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    result = stored(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
+    for table in (found, nodes, buckets, members, sets, first, joined, open_, last):
+        discard(table)
+    return result

@@ -14,11 +14,13 @@ doc_id) and are dropped from the others. Lines of one or two tokens follow the
 same rule.
 
 Everything is DataFrame expressions. Leaves in fewer documents than ``min_docs``
-go first, then equal lines of a leaf are folded into one, so the places of a
-line that a third of all documents share are counted once. Counts are made with
-map-side partial aggregation; the joins are plain equi-joins with stored tables,
-whose skewed partitions adaptive execution splits. Only one line's tokens are
-ever gathered in one value.
+go first: a bitmap of fixed size, which is broadcast, keeps most of their lines
+from being shuffled at all, and a join with the leaves drops the rest. Then equal
+lines of a leaf are folded into one, so the places of a line that a third of all
+documents share are counted once. Counts are made with map-side partial
+aggregation; the joins are plain equi-joins with stored tables, whose skewed
+partitions adaptive execution splits. Only one line's tokens are ever gathered
+in one value. Texts are parsed twice, which costs less than keeping all lines.
 
 Edge cases: null and blank texts have no lines and stay as they are; blank lines
 are never dropped; lines and tokens may have any length; rows that share a doc_id
@@ -34,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import discard, stored, without_positions
+from .support import discard, likely_in, stored, without_positions
 
 VARIABLE = "<*>"
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -58,11 +60,14 @@ def parsed_lines(docs: DataFrame, depth: int = 2) -> DataFrame:
     k1, k2 = _keys("text")
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     plain = F.trim(F.regexp_replace("raw", _BLANKS, " "))
-    lines = rows.where(F.col("raw").rlike("[^\\x20\\x09-\\x0D]")).withColumn("line", plain)
+    real = rows.where(F.col("raw").rlike("[^\\x20\\x09-\\x0D]"))
+    # Generators: nothing that uses their columns computes them again.
+    lines = real.select(*_ROW, "pos", F.explode(F.array(plain)).alias("line"))
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index("line", " ", depth)
     path = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(lead)
-    return lines.select(*_ROW, "pos", F.xxhash64(n, path).alias("leaf"), F.xxhash64("line").alias("whole"), "line")
+    hashes = F.struct(F.xxhash64(n, path).alias("leaf"), F.xxhash64("line").alias("whole"))
+    return lines.select(*_ROW, "pos", F.inline(F.array(hashes)), "line")
 
 
 def _in_documents(rows: DataFrame, *keys: str) -> DataFrame:
@@ -71,14 +76,13 @@ def _in_documents(rows: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
-def line_templates(lines: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
-    """(leaf, whole, template, constants) of the lines whose leaf stands in enough documents.
+def line_templates(lines: DataFrame, leaves: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
+    """(leaf, whole, template, constants) of the ``lines`` (doc_id, leaf, whole, line) whose leaf is in ``leaves``.
 
     template: a hash; constants: array<struct<pos, token>> of what is not variable after the leading
     tokens, null for a line that is its own template.
     """
-    leaves = stored(_in_documents(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    alike = lines.join(leaves, "leaf")
+    alike = likely_in(lines.select("doc_id", "leaf", "whole", "line"), "leaf", leaves, "leaf").join(leaves, "leaf")
     # One row for each distinct line of a leaf, with the number of documents that hold it.
     distinct = stored(_in_documents(alike, "leaf", "whole", "line").drop("first_doc"), "distinct")
     support = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"))
@@ -106,15 +110,15 @@ def line_templates(lines: DataFrame, depth: int = 2, percent: int = 70, min_docs
 
 def dropped_lines(docs: DataFrame, depth: int = 2, percent: int = 70, min_docs: int = 3) -> DataFrame:
     """(doc_id, k1, k2, drop): ascending positions of the lines that go, by id and hashes of the text."""
-    lines = stored(parsed_lines(docs, depth), "lines")
-    templates = stored(line_templates(lines, depth, percent, min_docs).drop("constants"), "templates")
-    narrow = lines.select(*_ROW, "pos", "leaf", "whole")
-    placed = stored(narrow.join(templates, ["leaf", "whole"]).select(*_ROW, "pos", "template"), "placed")
+    lines = stored(parsed_lines(docs, depth).drop("line"), "lines")
+    leaves = stored(_in_documents(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    templates = stored(line_templates(parsed_lines(docs, depth), leaves, depth, percent, min_docs).drop("constants"), "templates")
+    placed = stored(likely_in(lines, "leaf", leaves, "leaf").join(templates, ["leaf", "whole"]).select(*_ROW, "pos", "template"), "placed")
     # As a table of its own both sides of the join are shuffled for it alone, so a hot template's partition can be split.
     recurring = stored(_in_documents(placed, "template").where(F.col("docs") >= min_docs).select("template", "first_doc"), "recurring")
     hits = placed.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     found = stored(hits.groupBy(*_ROW).agg(F.sort_array(F.collect_set("pos")).alias("drop")), "drops")
-    for table in (lines, templates, placed, recurring):
+    for table in (lines, leaves, templates, placed, recurring):
         discard(table)
     return found
 

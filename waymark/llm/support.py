@@ -45,8 +45,8 @@ def without_positions(pieces: Column, drop: Column) -> Column:
     return let(pieces, lambda p: let(drop, lambda d: build(p, d)))
 
 
-#: Bits of the bitmap of likely_in(): 8 MB whatever the number of keys, so it can always be broadcast.
-_BITS = 1 << 26
+#: Bits of the bitmap of likely_in(): 4 MB whatever the number of keys, so it can always be broadcast.
+_BITS = 1 << 25
 
 
 def likely_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:

@@ -66,13 +66,115 @@ def test_coverage_fill_adds_only_what_is_missing():
 def test_grouped_folds_are_disjoint_balanced_and_stable(spark):
     rows = [("t", f"g{i % 13}", int(i % 3 == 0), i) for i in range(130)]
     df = spark.createDataFrame(rows, "target string, grp string, label int, id int")
-    a = splits.grouped_stratified(df, "target", "grp", "label", 4, seed=1, salts=8)
+    a = splits.grouped_stratified(df, "target", "grp", "label", 4, seed=1, starts=8)
     assert a.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
     sizes = [r["count"] for r in a.groupBy("fold").count().collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 20
-    b = splits.grouped_stratified(df.orderBy(F.desc("id")), "target", "grp", "label", 4, seed=1, salts=8)
+    b = splits.grouped_stratified(df.orderBy(F.desc("id")), "target", "grp", "label", 4, seed=1, starts=8)
     assert a.exceptAll(b.select(a.columns)).isEmpty()
-    assert splits.largest_feasible(df, [2, 5, 40], "grp", "label") == 5
+    assert splits.grouped_stratified(df, "target", "grp", "label", (40, 5, 2), seed=1, starts=4).select("n_folds").distinct().collect()[0][0] == 5
+
+
+def plain_assignment(groups, n, seed, namespace, starts):
+    """The search in floating point, as its rule is worded."""
+
+    def rank(*parts):
+        return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big")
+
+    totals = [sum(g[k] for g in groups.values()) for k in (0, 1)]
+    rows = sum(totals)
+
+    def uneven(folds):
+        out = sum(sum((f[k] - totals[k] / n) ** 2 for f in folds) / max(totals[k], 1) for k in (0, 1))
+        out += 0.15 * sum((f[2] - rows / n) ** 2 for f in folds) / max(rows, 1)
+        return out + 0.05 * sum((f[3] - len(groups) / n) ** 2 for f in folds) / max(len(groups), 1)
+
+    best = None
+    for salt in range(starts):
+        names = sorted(groups, key=lambda g: (-max(groups[g][0] / max(totals[0], 1), groups[g][1] / max(totals[1], 1)), -sum(groups[g]), rank(seed, namespace, salt, g)))
+        folds, placed = [[0, 0, 0, 0] for _ in range(n)], {}
+        for i, g in enumerate(names):
+            add = (*groups[g], sum(groups[g]), 1)
+            options = []
+            for f in range(n):
+                if i < n and folds[f][3]:
+                    continue
+                trial = [[x + a for x, a in zip(folds[f], add)] if k == f else folds[k] for k in range(n)]
+                options.append((round(uneven(trial), 9), rank(seed, namespace + "|fold", salt, f"{g}|{f}"), f))
+            f = min(options)[2]
+            folds[f] = [x + a for x, a in zip(folds[f], add)]
+            placed[g] = f
+        if all(0 < f[k] < totals[k] for f in folds for k in (0, 1)):
+            candidate = round(uneven(folds), 9), tuple(sorted(placed.items()))
+            best = candidate if best is None else min(best, candidate)
+    return dict(best[1]) if best else None
+
+
+def test_grouped_folds_equal_the_plain_search(spark):
+    draw = np.random.default_rng(4)
+    rows = [("t", f"g{draw.integers(0, 11)}", int(draw.random() < 0.3), i) for i in range(90)]
+    rows += [("few", f"g{i}", int(i == 0), i) for i in range(6)]
+    df = spark.createDataFrame(rows, "target string, grp string, label int, id int")
+    found = splits.grouped_stratified(df, "target", "grp", "label", (5, 3), seed=7, starts=20).collect()
+    groups = {}
+    for t, g, y, _ in rows:
+        if t == "t":
+            neg, pos = groups.get(g, (0, 0))
+            groups[g] = (neg + (y == 0), pos + (y == 1))
+    expected, n = next((a, n) for n in (5, 3) if (a := plain_assignment(groups, n, 7, "t", 20)) is not None)
+    assert {r.grp: r.fold for r in found if r.target == "t"} == expected and {r.n_folds for r in found if r.target == "t"} == {n}
+    # One positive row cannot be in every fold: no split, and no row is lost.
+    assert [(r.fold, r.n_folds) for r in found if r.target == "few"] == [(None, None)] * 6
+
+
+def test_nested_selection_keeps_validation_rows_apart(spark):
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        x, z = draw.normal(size=2)
+        rows.append(("t", i, f"g{i % 24}", int(x + 0.5 * draw.normal() > 0), float(x), float(z)))
+    df = spark.createDataFrame(rows, "target string, id int, grp string, label int, x double, z double")
+    manifest = splits.nested_manifest(df, "target", "grp", "label", 3, (3,), (3, 2), starts=6).cache()
+    assert manifest.count() == 720 and ml.leaked_keys(manifest, "grp", "target").isEmpty()
+    assert manifest.where("outer_role = 'outer_validation'").groupBy("id").count().where("count <> 1").isEmpty()
+    configs = [("weak", 1e-6, False), ("C1", 1.0, False), ("same", 1.0, False)]
+    scored, candidates = ml.nested(manifest, "id", ["x", "z"], "label", configs, "target")
+    chosen = {r.outer_fold: r.config for r in candidates.where("selected").collect()}
+    local = manifest.toPandas()
+    got = {r.id: r for r in scored.collect()}
+    assert len(got) == 240
+    for fold, part in local.groupby("outer_fold"):
+        def scores(train, held, c):
+            a, b = train.sort_values("id"), held
+            mean, sd = a[["x", "z"]].mean().to_numpy(), a[["x", "z"]].std(ddof=0).to_numpy()
+            w, _ = ml.newton_logistic((a[["x", "z"]].to_numpy() - mean) / sd, a["label"].to_numpy(), c, False)
+            return 1 / (1 + np.exp(-(np.hstack([(b[["x", "z"]].to_numpy() - mean) / sd, np.ones((len(b), 1))]) @ w)))
+
+        def precision(y, p):
+            order = np.argsort(-p, kind="stable")
+            hits = np.cumsum(y[order])
+            return float((hits / np.arange(1, len(y) + 1))[y[order] == 1].mean())
+
+        train, held = part[part.inner_split == "inner_train"], part[part.inner_split == "inner_validation"]
+        aps = [round(precision(held["label"].to_numpy(), scores(train, held, c)), 12) for _, c, _ in configs]
+        assert chosen[fold] == configs[aps.index(max(aps))][0]
+        c = dict((n, v) for n, v, _ in configs)[chosen[fold]]
+        outer = part[part.outer_role == "outer_validation"]
+        for i, p in zip(outer["id"], scores(part[part.outer_role == "outer_train"], outer, c)):
+            assert got[i].probability == pytest.approx(p, abs=1e-9) and got[i].predicted == int(got[i].probability >= got[i].threshold)
+
+
+def test_tfidf_variants_strip_accents_and_pair_words(spark):
+    docs = spark.createDataFrame([(1, "Été ÉTÉ x ete, fin"), (2, "ete fin"), (3, "fin ete"), (4, None)], "id int, text string")
+    one = {(r.id, r.term): r.weight for r in ml.tfidf(docs, "id", "text").collect()}
+    assert {k for k in one if k[0] == 1} == {(1, "ete"), (1, "fin")}
+    a, b = (1 + np.log(3)) * (np.log(5 / 4) + 1), np.log(5 / 4) + 1
+    assert one[1, "ete"] == pytest.approx(a / np.hypot(a, b))
+    two = {r.term for r in ml.tfidf(docs, "id", "text", 2).where("id = 1").collect()}
+    assert two == {"ete", "fin", "ete fin"}
+    assert {r.term for r in ml.tfidf(docs, "id", "text", 1, max_df=0.5).collect()} == set()
+    taught = docs.withColumn("fit", F.col("id") > 1)
+    assert {r.term for r in ml.tfidf(taught, "id", "text", 2, fit_on="fit").where("id = 1").collect()} == {"ete", "fin"}
 
 
 def test_json_paths(spark):

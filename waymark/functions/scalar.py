@@ -126,6 +126,16 @@ def interval_bounds(x: Column) -> Column:
     return F.struct(low.alias("low"), high.alias("high"))
 
 
+def has_number(x: Column) -> Column:
+    """Whether a text holds a decimal digit of any script."""
+    return x.rlike(r"(?U)\d")
+
+
+def bibtex_keys(x: Column) -> Column:
+    """The keys of a bibliography's entries, in order; an entry is ``@kind{key, ...``."""
+    return F.regexp_extract_all(x, F.lit(r"(?U)@\w+\s*\{\s*([^,\s]+)"), F.lit(1))
+
+
 def first_match(path: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The class of the first rule (regular expression, class) that a path matches, in the given order."""
     out = F.lit(default)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.binding import let
+from waymark.operators import metrics, ranking
+
 
 def dummies(train: DataFrame, label: str, *keys: str) -> DataFrame:
     """(keys, most_frequent, prior): a hard 0/1 probability and the rate of positives."""
@@ -35,8 +40,12 @@ def without_accents(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
-        plain = s.str.normalize("NFKD")
-        return plain.str.replace(r"[̀-ͯ]", "", regex=True)
+        def plain(text: str | None) -> str | None:
+            if text is None or text.isascii():
+                return text
+            return "".join([c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)])
+
+        return s.map(plain)
 
     return strip(text)
 
@@ -46,19 +55,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_features: int = 20_000) -> DataFrame:
+def n_grams(words: Column, longest: int) -> Column:
+    """Runs of 1 to ``longest`` words, joined by spaces."""
+
+    def runs_of(w: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        found = F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.slice(w, 1, 0))
+
+    def runs(w: Column) -> Column:
+        return F.concat(w, *[runs_of(w, n) for n in range(2, longest + 1)])
+
+    return let(words, runs)
+
+
+def tfidf(
+    docs: DataFrame, key: str, text: str, longest: int = 1, min_df: int = 2, max_df: float = 1.0, max_features: int = 20_000, fit_on: str | None = None
+) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length one by document.
 
-    The vocabulary has the terms of at least ``min_df`` documents, the most
-    frequent ``max_features`` of them in the corpus (then by name).
+    Terms are runs of 1 to ``longest`` words (T1: 1, T2: 2) of the lower-cased text without accents. The
+    vocabulary has the terms of at least ``min_df`` documents and of at most the share ``max_df`` of them; the
+    most frequent ``max_features`` in the corpus (then by name) stay. With ``fit_on``, a boolean column, only
+    the documents where it holds teach vocabulary and weights; all are transformed.
     """
-    counts = docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    vocabulary = terms.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
-    n = docs.agg(F.count("*").alias("n"))
+    plain = tokens(without_accents(F.lower(F.col(text))))
+    taught = F.col(fit_on) if fit_on else F.lit(True)
+    counts = docs.select(key, taught.alias("_fit"), F.explode(n_grams(plain, longest)).alias("term")).groupBy(key, "_fit", "term").agg(F.count("*").alias("tf"))
+    n = docs.agg(F.count_if(taught).alias("n"))
+    found = counts.where("_fit").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    found = found.crossJoin(F.broadcast(n)).where(F.col("df") <= F.lit(max_df) * F.col("n"))
+    vocabulary = found.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df", "n")
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     # n is one row and the vocabulary has a bounded number of rows.
-    raw = counts.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("_w", (1 + F.log("tf")) * idf)
+    raw = counts.join(vocabulary, "term").withColumn("_w", (1 + F.log("tf")) * idf)
     length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
     return raw.join(length, key).select(key, "term", (F.col("_w") / F.col("_length")).alias("weight"))
 
@@ -82,38 +112,83 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, c: float, balanced: bool, roun
     return w, "round limit"
 
 
-def out_of_fold(rows: DataFrame, key: str, features: list[str], label: str, fold: str, configs: list[tuple[str, float, bool]], n_folds: int) -> DataFrame:
-    """(key, config, fold, probability, label, status): each fold's rows scored by a model of the other folds.
+Config = tuple[str, float, bool]
+
 
-    A task fits one (config, fold); rows are small feature vectors, and a fold
-    with one class only gets no probability.
+def fitted_scores(
+    rows: DataFrame, tasks: list[str], key: str, features: list[str], label: str, role: str, configs: list[Config], config: str | None = None
+) -> DataFrame:
+    """(tasks, config, key, label, probability, status): the ``held`` rows of each task, scored by a model of its ``train`` rows.
+
+    ``tasks`` are columns that tell the fits apart; every configuration is fitted for each of them, or only
+    the one that the column ``config`` names. Statistics that scale the features come from the train rows
+    alone. One fit sees its rows in one task, as small feature vectors; a task whose train rows have one class
+    only gives no probability, and rows of other roles (or with a null label in train) are not used.
     """
-    names = [c[0] for c in configs]
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.lit(k).alias("outer_fold")) for c in names for k in range(n_folds)]))
-    tasks = rows.select(key, *features, label, fold, pairs.alias("_task")).select("*", "_task.*").drop("_task")
     table = {name: (c, balanced) for name, c, balanced in configs}
+    known = F.array(F.col(config)) if config else F.array(*[F.lit(name) for name in table])
+    slim = rows.where(F.col(role).isin("train", "held")).select(*tasks, key, *features, label, F.col(role).alias("_role"), F.explode(known).alias("config"))
+    types = dict(slim.dtypes)
 
     def run(task: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        name, k = task
-        c, balanced = table[name]
-        held = found[found[fold] == k]
-        train = found[found[fold] != k].sort_values(key)
+        c, balanced = table[task[-1]]
+        held = found[found["_role"] == "held"]
+        train = found[(found["_role"] == "train") & found[label].notna()].sort_values(key)
         x, y = train[features].to_numpy(float), train[label].to_numpy(int)
-        out = held[[key, label]].assign(config=name, outer_fold=k, probability=np.nan, status="one class")
+        out = held[[*tasks, "config", key, label]].assign(probability=np.nan, status="one class")
         if len(held) and len(set(y)) == 2:
             mean, sd = x.mean(axis=0), x.std(axis=0)
             sd[sd == 0] = 1
             w, status = newton_logistic((x - mean) / sd, y, c, balanced)
             z = np.hstack([(held[features].to_numpy(float) - mean) / sd, np.ones((len(held), 1))]) @ w
             out = out.assign(probability=1 / (1 + np.exp(-z)), status=status)
-        return out[[key, "config", "outer_fold", "probability", label, "status"]]
+        return out
 
-    types = dict(rows.dtypes)
-    schema = f"{key} {types[key]}, config string, outer_fold int, probability double, {label} {types[label]}, status string"
-    scored = tasks.groupBy("config", "outer_fold").applyInPandas(run, schema)
+    schema = ", ".join(f"`{t}` {types[t]}" for t in (*tasks, "config", key, label)) + ", probability double, status string"
+    scored = slim.groupBy(*tasks, "config").applyInPandas(run, schema)
     return scored.withColumn("probability", F.when(~F.isnan("probability"), F.col("probability")))
 
 
+def out_of_fold(rows: DataFrame, key: str, features: list[str], label: str, fold: str, configs: list[Config], n_folds: int) -> DataFrame:
+    """(key, config, outer_fold, probability, label, status): each fold's rows scored by a model of the other folds."""
+    outer = F.explode(F.array(*[F.lit(k) for k in range(n_folds)])).alias("outer_fold")
+    spread = rows.select("*", outer).withColumn("_side", F.when(F.col(fold) == F.col("outer_fold"), "held").otherwise("train"))
+    found = fitted_scores(spread, ["outer_fold"], key, features, label, "_side", configs)
+    return found.select(key, "config", "outer_fold", "probability", label, "status")
+
+
+def nested(manifest: DataFrame, key: str, features: list[str], label: str, configs: list[Config], *targets: str) -> tuple[DataFrame, DataFrame]:
+    """(outer scores, candidates) of nested selection over a manifest with ``outer_fold``, ``outer_role`` and ``inner_split``.
+
+    For every target and outer fold each configuration is fitted on the inner train rows and judged by average
+    precision on the inner validation rows; the best one (then the first in the order of ``configs``) is chosen,
+    its threshold too. It is fitted again on all outer train rows and scores the outer validation rows, whose
+    labels no step before has read.
+    """
+    cell = [*targets, "outer_fold"]
+    inner = manifest.withColumn("_side", F.when(F.col("inner_split") == "inner_train", "train").when(F.col("inner_split") == "inner_validation", "held"))
+    tried = fitted_scores(inner, cell, key, features, label, "_side", configs)
+    judged = metrics.ranking(tried, *cell, "config", label=label, score="probability").select(*cell, "config", F.col("average_precision").alias("inner_ap"))
+    place = F.array_position(F.array(*[F.lit(name) for name, _, _ in configs]), F.col("config"))
+    candidates = judged.withColumn("rank", place)
+    best = candidates.groupBy(*cell).agg(F.min_by("config", F.struct((-F.coalesce("inner_ap", F.lit(-1.0))).alias("a"), "rank")).alias("chosen"))
+    limits = ranking.threshold_by_f1(tried.join(best, cell).where("config = chosen"), *cell, label=label, score="probability")
+    outer = manifest.withColumn("_side", F.when(F.col("outer_role") == "outer_train", "train").when(F.col("outer_role") == "outer_validation", "held"))
+    scored = fitted_scores(outer.join(best, cell), cell, key, features, label, "_side", configs, "chosen")
+    final = scored.join(limits.select(*cell, "threshold"), cell, "left")
+    marked = candidates.join(best, cell).withColumn("selected", F.col("config") == F.col("chosen")).drop("chosen")
+    return final.withColumn("predicted", (F.col("probability") >= F.col("threshold")).cast("int")), marked
+
+
+def leaked_keys(manifest: DataFrame, group: str, *targets: str) -> DataFrame:
+    """(targets, outer_fold, group) on both sides of an outer fold, or of its inner one; fits are isolated where there is none."""
+    cell = [*targets, "outer_fold", group]
+    sides = manifest.groupBy(*cell).agg(
+        F.count_distinct("outer_role").alias("outer"), F.count_distinct(F.when(F.col("inner_split") != "not_applicable", F.col("inner_split"))).alias("inner")
+    )
+    return sides.where("outer > 1 OR inner > 1").select(*cell)
+
+
 def one_hot(rows: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     """Indicator columns ``name=value`` for given levels; an unknown level has none set."""
     return rows.withColumns({f"{c}={v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, vs in columns.items() for v in vs})

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from waymark.functions import steps as step_functions
 from waymark.functions.scalar import blank_to_null
 
-#: The step fields that a cleaned record keeps; all others are dropped.
-STEP_FIELDS = ("action", "observation", "error", "reasoning", "focused_element")
+#: The step fields that a cleaned record keeps; all others are dropped, and those that are not there are null.
+STEP_FIELDS = ("action", "observation", "error", "reasoning", "focused_element", "tool_name", "tool_input", "tool_output")
 
 
 def cleaned(raw: DataFrame, steps: str = "steps", instruction: str = "instruction") -> DataFrame:
     """``raw`` with whitelisted, numbered steps, a ``terminal`` struct and ``quality_flags``; blank texts become null."""
 
+    there = raw.schema[steps].dataType.elementType.fieldNames()
+
     def step(s: Column, i: Column) -> Column:
-        fields = [blank_to_null(s[f]).alias(f) for f in STEP_FIELDS]
+        fields = [(blank_to_null(s[f]) if f in there else F.lit(None).cast("string")).alias(f) for f in STEP_FIELDS]
         return F.struct((i + 1).cast("int").alias("step_index"), *fields)
 
     kept = raw.withColumn(steps, F.transform(F.coalesce(F.col(steps), F.array()), step)).withColumn(instruction, blank_to_null(F.col(instruction)))
@@ -46,6 +48,22 @@ def cleaned(raw: DataFrame, steps: str = "steps", instruction: str = "instructio
     return kept.withColumn("terminal", terminal).withColumn("quality_flags", flags)
 
 
+def bundles(clean: DataFrame, key: str, steps: str = "steps", instruction: str = "instruction") -> DataFrame:
+    """(key, view, text, content_sha256, characters): every text view of cleaned records."""
+
+    def one(view: str) -> Column:
+        text = step_functions.text_view(F.col(instruction), F.col(steps), view)
+        return F.struct(F.lit(view).alias("view"), text.alias("text"))
+
+    shown = clean.select(key, F.inline(F.array(*[one(v) for v in step_functions.VIEWS])))
+    return shown.withColumns({"content_sha256": F.sha2("text", 256), "characters": F.char_length("text").cast("long")})
+
+
+def allowed(rows: DataFrame, column: str, values: tuple[str, ...], names: dict[str, str]) -> DataFrame:
+    """The rows whose ``column`` is one of ``values``, with the columns ``names`` (new name by old one) and no other."""
+    return rows.where(F.col(column).isin(*values)).select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+
+
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, violation): a row for each rule (a condition that must not hold) that a row breaks; null does not break."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,48 +52,118 @@ def fold_validity(manifest: DataFrame, key: str, label: str, n: int) -> DataFram
     return bad_keys.crossJoin(sides.agg(F.count_if(F.col("classes") < 2).alias("one_class_sides")))
 
 
-def _assignments(groups: pd.DataFrame, n: int, seed: int, salts: int) -> pd.DataFrame:
-    """The best of several greedy assignments of groups (group, size, positives) to folds."""
-    total, positives = int(groups["size"].sum()), int(groups["positives"].sum())
-    best = None
-    rows = [(str(g), int(s), int(p)) for g, s, p in groups[["group", "size", "positives"]].itertuples(index=False)]
-    for salt in range(salts):
-        rank = {g: hashlib.sha256(f"{seed}|{salt}|{g}".encode()).hexdigest() for g, _, _ in rows}
-        load, hits, count, placed = [0] * n, [0] * n, [0] * n, {}
-        for g, s, p in sorted(rows, key=lambda r: (-r[1], rank[r[0]])):
-            def cost(f: int, s: int = s, p: int = p) -> tuple:
-                return (abs((hits[f] + p) * n - positives) + abs((load[f] + s) * n - total) - abs(hits[f] * n - positives) - abs(load[f] * n - total), count[f], f)
-
-            f = min(range(n), key=cost)
-            load[f], hits[f], count[f], placed[g] = load[f] + s, hits[f] + p, count[f] + 1, f
-        spread = sum((h * n - positives) ** 2 for h in hits), sum((x * n - total) ** 2 for x in load), max(count) - min(count)
-        signature = tuple(placed[g] for g, _, _ in sorted(rows))
-        if best is None or (spread, signature) < best[:2]:
-            best = (spread, signature, placed)
-    placed = best[2] if best else {}
-    return pd.DataFrame({"group": list(placed), "fold": list(placed.values())}).astype({"fold": "int32"})
-
-
-def grouped_stratified(rows: DataFrame, namespace: str, group: str, label: str, n: int, seed: int, salts: int = 32) -> DataFrame:
-    """``rows`` with ``fold``: whole groups, with class counts and sizes as even as several greedy starts get them.
-
-    The greedy search is sequential, so a namespace's groups (one row each, not
-    their members) meet in one task; namespaces run in parallel.
+def _rank(*parts: object) -> int:
+    return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big")
+
+
+class _Search:
+    """Greedy assignments of groups (name -> negatives, positives) to ``n`` folds.
+
+    How uneven folds are is a sum of squared distances from an even share: of each class over its total, of
+    sizes over all rows (times 0.15) and of group numbers over all groups (times 0.05). The sums are kept as
+    whole numbers over one denominator, so equal ones are equal.
+    """
+
+    def __init__(self, groups: dict[str, tuple[int, int]], n: int, seed: int, namespace: str) -> None:
+        self.groups, self.n, self.seed, self.namespace = groups, n, seed, namespace
+        self.totals = tuple(sum(g[k] for g in groups.values()) for k in (0, 1))
+        rows = sum(self.totals)
+        parts = (max(self.totals[0], 1), max(self.totals[1], 1), max(rows, 1), max(len(groups), 1))
+        whole = 20 * parts[0] * parts[1] * parts[2] * parts[3]
+        self.targets = (*self.totals, rows, len(groups))
+        self.weights = tuple(whole * w // (20 * p) for w, p in zip((20, 20, 3, 1), parts, strict=True))
+
+    def uneven(self, folds: list[list[int]]) -> int:
+        return sum(w * (self.n * f[k] - t) ** 2 for f in folds for k, (w, t) in enumerate(zip(self.weights, self.targets, strict=True)))
+
+    def start(self, salt: int) -> tuple[list[list[int]], dict[str, int]]:
+        """(fold totals, fold of each group) of one start: rarest groups first, each to where it evens most."""
+        n, groups, totals = self.n, self.groups, self.totals
+
+        def order(name: str) -> tuple:
+            neg, pos = groups[name]
+            rarity = max(Fraction(neg, max(totals[0], 1)), Fraction(pos, max(totals[1], 1)))
+            return -rarity, -(neg + pos), _rank(self.seed, self.namespace, salt, name)
+
+        folds = [[0, 0, 0, 0] for _ in range(n)]
+        placed: dict[str, int] = {}
+        for i, name in enumerate(sorted(groups, key=order)):
+            added = (*groups[name], sum(groups[name]), 1)
+            # Every fold gets one of the first groups.
+            open_ = [f for f in range(n) if not folds[f][3]] if i < n else range(n)
+
+            def change(f: int, added: tuple = added) -> int:
+                terms = zip(self.weights, self.targets, added, folds[f], strict=True)
+                return sum(w * n * a * (n * a + 2 * (n * have - t)) for w, t, a, have in terms)
+
+            changes = {f: change(f) for f in open_}
+            least = min(changes.values())
+            tied = [f for f in open_ if changes[f] == least]
+            chosen = tied[0] if len(tied) == 1 else min(tied, key=lambda f: (_rank(self.seed, f"{self.namespace}|fold", salt, f"{name}|{f}"), f))
+            placed[name] = chosen
+            folds[chosen] = [x + a for x, a in zip(folds[chosen], added, strict=True)]
+        return folds, placed
+
+    def best(self, starts: int) -> dict[str, int] | None:
+        """The most even of many starts whose folds, and what is left without each, have both classes; None if there is none."""
+        if len(self.groups) < self.n or min(self.totals) < self.n:
+            return None
+        found = None
+        for salt in range(starts):
+            folds, placed = self.start(salt)
+            if all(0 < f[k] < self.totals[k] for f in folds for k in (0, 1)):
+                candidate = self.uneven(folds), tuple(sorted(placed.items()))
+                found = candidate if found is None else min(found, candidate)
+        return dict(found[1]) if found else None
+
+
+def grouped_stratified(
+    rows: DataFrame, namespace: str, group: str, label: str, candidates: int | tuple[int, ...], seed: int, starts: int = 512
+) -> DataFrame:
+    """``rows`` with ``n_folds`` and ``fold``: whole groups, with classes, sizes and group numbers as even as ``starts`` greedy starts get them.
+
+    The first of the ``candidates`` (fold numbers, in the order given) is taken for which every fold and its
+    complement have both classes; where none is feasible both columns are null. The search is sequential, so a
+    namespace's groups (one row each, not their members) meet in one task; namespaces run in parallel.
     """
+    numbers = (candidates,) if isinstance(candidates, int) else tuple(candidates)
     groups = rows.groupBy(F.col(namespace).alias("namespace"), F.col(group).alias("group")).agg(
-        F.count("*").alias("size"), F.sum(label).alias("positives")
+        F.count_if(F.col(label) == 0).alias("negative"), F.count_if(F.col(label) == 1).alias("positive")
     )
+    types = dict(groups.dtypes)
 
     def assign(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        return _assignments(found, n, seed, salts).assign(namespace=key[0])
-
-    folds = groups.groupBy("namespace").applyInPandas(assign, "group string, fold int, namespace string")
-    renamed = folds.select(F.col("namespace").alias(namespace), F.col("group").alias(group), "fold")
-    return rows.join(renamed, [namespace, group])
-
-
-def largest_feasible(counts: DataFrame, candidates: Iterator[int] | list[int], group: str, label: str) -> int | None:
-    """The greatest fold number for which both classes have at least that many groups."""
-    per_class = {r[0]: r[1] for r in counts.groupBy(label).agg(F.count_distinct(group)).collect()}
-    fitting = [k for k in candidates if min(per_class.get(0, 0), per_class.get(1, 0)) >= k]
-    return max(fitting, default=None)
+        held = {str(g): (int(neg), int(pos)) for g, neg, pos in found[["group", "negative", "positive"]].itertuples(index=False)}
+        for n in numbers:
+            placed = _Search(held, n, seed, str(key[0])).best(starts)
+            if placed is not None:
+                out = found[["namespace", "group"]]
+                return out.assign(n_folds=n, fold=[placed[str(g)] for g in found["group"]])
+        return found[["namespace", "group"]].assign(n_folds=0, fold=0).iloc[:0]
+
+    schema = f"namespace {types['namespace']}, group {types['group']}, n_folds int, fold int"
+    folds = groups.groupBy("namespace").applyInPandas(assign, schema)
+    renamed = folds.select(F.col("namespace").alias(namespace), F.col("group").alias(group), "n_folds", "fold")
+    return rows.join(renamed, [namespace, group], "left")
+
+
+def nested_manifest(
+    rows: DataFrame, target: str, group: str, label: str, seed: int, outer: tuple[int, ...] = (5, 4, 3), inner: tuple[int, ...] = (5, 4, 3, 2), starts: int = 512
+) -> DataFrame:
+    """``rows`` once for each outer fold of their target, with ``outer_fold``, ``outer_role``, ``inner_n`` and ``inner_split``.
+
+    Inner folds are sought among the training rows of each outer fold alone; the first of them validates.
+    """
+    named = rows.withColumn("_outer", F.concat(F.lit("outer|"), F.col(target).cast("string")))
+    placed = grouped_stratified(named, "_outer", group, label, outer, seed, starts).drop("_outer").where("fold IS NOT NULL")
+    spread = placed.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.col("n_folds") - 1)))
+    spread = spread.withColumn("_inner", F.concat(F.lit("inner|"), F.col(target).cast("string"), F.lit("|outer"), (F.col("outer_fold") + 1).cast("string")))
+    own = spread.drop("n_folds", "fold").columns
+    train = spread.where(F.col("fold") != F.col("outer_fold")).select(*own)
+    held = spread.where(F.col("fold") == F.col("outer_fold")).select(*own)
+    cut = grouped_stratified(train, "_inner", group, label, inner, seed, starts)
+    split = F.when(F.col("fold") == 0, "inner_validation").when(F.col("fold").isNotNull(), "inner_train")
+    trained = cut.withColumns({"outer_role": F.lit("outer_train"), "inner_n": F.col("n_folds"), "inner_split": split})
+    tested = held.withColumns({"outer_role": F.lit("outer_validation"), "inner_n": F.lit(None).cast("int"), "inner_split": F.lit("not_applicable")})
+    names = [*[c for c in own if c != "_inner"], "outer_role", "inner_n", "inner_split"]
+    return trained.select(*names).unionByName(tested.select(*names)).withColumn("outer_fold", F.col("outer_fold") + 1)

@@ -70,12 +70,23 @@ SELECT p_partkey, round((p_size - ms) / ss, 6) AS size, round((p_retailprice - m
 
 
 def tfidf_weights(spark, sf):
-    """The three heaviest terms of each text."""
-    from pyspark.sql import Window
+    """The weights of every text's terms: words (T1), and words and pairs of words (T2)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    parts = [ml.tfidf(docs, "doc_id", "text", longest).withColumn("variant", F.lit(name)) for name, longest in (("T1", 1), ("T2", 2))]
+    return parts[0].unionByName(parts[1]).withColumn("weight", F.round("weight", 6))
 
-    found = ml.tfidf(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return found.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+TFIDF_SQL = r"""WITH words AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS w FROM documents), grams AS (
+    SELECT variant, doc_id, unnest(CASE variant WHEN 'T1' THEN w ELSE list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS term
+    FROM words, (VALUES ('T1'), ('T2')) v(variant)
+), counts AS (
+    SELECT variant, doc_id, term, count(*) AS tf FROM grams GROUP BY variant, doc_id, term
+), vocabulary AS (
+    SELECT variant, term, count(*) AS df FROM counts GROUP BY variant, term HAVING count(*) >= 2
+    QUALIFY row_number() OVER (PARTITION BY variant ORDER BY sum(tf) DESC, term) <= 20000
+), raw AS (
+    SELECT variant, doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM counts JOIN vocabulary USING (variant, term), (SELECT count(*) AS n FROM documents)
+) SELECT variant, doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY variant, doc_id)), 6) AS weight FROM raw"""
 
 
 def _features(spark, sf):
@@ -103,6 +114,15 @@ def lr_newton_oof(spark, sf):
     return found.withColumn("probability", F.round("probability", 6))
 
 
+def nested_selection(spark, sf):
+    """Outer scores of a learner whose configuration and threshold inner folds choose."""
+    rows = _features(spark, sf).withColumns({"target": F.lit("quality"), "grp": F.concat_ws("::", "source", (F.col("doc_id") % 8).cast("string"))})
+    manifest = splits.nested_manifest(rows, "target", "grp", "quality", 2026, (3, 2), (3, 2), starts=64)
+    configs = [("C0.1", 0.1, False), ("C1", 1.0, False), ("C1_balanced", 1.0, True)]
+    scored, _ = ml.nested(manifest, "doc_id", ["log_chars", "symbols", "mean_word"], "quality", configs, "target")
+    return scored.withColumn("probability", F.round("probability", 6)).drop("status")
+
+
 def metadata_onehot_lr(spark, sf):
     """A metadata-only learner: its ranking metrics by outer fold."""
     langs = ["de", "en", "es", "fr"]
@@ -138,7 +158,8 @@ QUERIES = {
     "embedding_weighted_mean": (embedding_weighted_mean, MEAN_SQL),
     "dummy_baselines": (dummy_baselines, DUMMIES_SQL),
     "standard_scaler": (standard_scaler, SCALER_SQL),
-    "tfidf_weights": (tfidf_weights, None),
+    "tfidf_weights": (tfidf_weights, TFIDF_SQL),
+    "nested_selection": (nested_selection, None),
     "lr_newton_oof": (lr_newton_oof, None),
     "metadata_onehot_lr": (metadata_onehot_lr, None),
     "blind_predictions": (blind_predictions, BLIND_SQL),

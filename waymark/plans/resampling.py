@@ -53,7 +53,7 @@ FROM documents d CROSS JOIN (SELECT DISTINCT lang FROM documents) h"""
 
 def grouped_stratified_greedy(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return splits.grouped_stratified(rows.select("doc_id", "lang", "source", "quality"), "lang", "source", "quality", 4, 5)
+    return splits.grouped_stratified(rows.select("doc_id", "lang", "source", "quality"), "lang", "source", "quality", (4, 3, 2), 5)
 
 
 def _drawn(spark, sf):

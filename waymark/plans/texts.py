@@ -149,7 +149,48 @@ def marker_leaks(spark, sf):
 LEAKS_SQL = """SELECT item_id, count(DISTINCT doc_id) AS texts, count(DISTINCT d.source) AS sources
 FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) GROUP BY item_id"""
 
+def reference_keys(spark, sf):
+    """Keys of bibliographies made of the documents' sources, and whether a key holds a number."""
+    docs = table(spark, sf, "documents")
+    entry = F.concat(F.lit("@article{"), F.col("source"), F.lit(", title={x}} @Book { k"), F.col("doc_id").cast("string"), F.lit(",}"))
+    keys = docs.select("doc_id", F.explode(scalar.bibtex_keys(entry)).alias("key"))
+    return keys.withColumn("numbered", scalar.has_number(F.col("key")))
+
+
+REFERENCES_SQL = r"""SELECT doc_id, key, regexp_matches(key, '[0-9]') AS numbered FROM (SELECT doc_id, unnest(regexp_extract_all(
+    '@article{' || source || ', title={x}} @Book { k' || doc_id || ',}', '@\w+\s*\{\s*([^,\s]+)', 1)) AS key FROM documents)"""
+
+
+def allowed_rows(spark, sf):
+    """Events of two types only, under other names."""
+    from waymark.operators import records as record_operators
+
+    return record_operators.allowed(table(spark, sf, "events"), "event_type", ("click", "view"), {"event_id": "id", "event_type": "stage", "value": "point"})
+
+
+def record_bundles(spark, sf):
+    """Digest and length of every view of the cleaned records."""
+    from waymark.operators import records as record_operators
+
+    return record_operators.bundles(record_operators.cleaned(records(spark, sf)), "key").drop("text")
+
+
+def _bundles_sql() -> str:
+    def cut(x: str) -> str:
+        return f"nullif(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '')"
+
+    fields = ("action", "observation", "tool_name", "tool_output", "focused", "error", "reasoning")
+    trimmed = ", ".join(f"{cut(f)} AS {f}" for f in fields)
+    found = views_sql("SELECT key, view, array_to_string(list_filter(['[TASK]' || chr(10) || " + cut("task") + ", body], lambda x: x IS NOT NULL), chr(10)) || chr(10) AS t FROM whole")
+    # Fields are stripped first, and steps are numbered anew.
+    numbered = f"(SELECT key, turn, row_number() OVER (PARTITION BY key ORDER BY turn) AS step_index, {trimmed} FROM clean)"
+    return f"SELECT key, view, sha256(t) AS content_sha256, length(t) AS characters FROM ({found.replace('AS view FROM clean', f'AS view FROM {numbered}')})"
+
+
 QUERIES = {
+    "reference_keys": (reference_keys, REFERENCES_SQL),
+    "allowed_rows": (allowed_rows, "SELECT event_id AS id, event_type AS stage, value AS point FROM events WHERE event_type IN ('click', 'view')"),
+    "record_bundles": (record_bundles, _bundles_sql()),
     "literal_occurrences": (literal_occurrences, LITERAL_SQL),
     "section_literals": (section_literals, SECTION_SQL),
     "normalize_keys": (normalize_keys, KEYS_SQL),

@@ -66,6 +66,17 @@ def _by_score(df: DataFrame, keys: tuple[str, ...], label: str, score: str, weig
     return df.groupBy(*keys, F.col(score).alias("_score")).agg(F.sum(F.col(label) * w).alias("_tp"), F.sum(w).alias("_n"))
 
 
+#: Ranges that scores between 0 and 1 are cut into; others fall into one below and one above.
+RANGES = 1024
+
+
+def _range(score: Column) -> Column:
+    """A number that grows with the score, from a bounded set; null scores come last, as in a descending order."""
+    inside = F.floor(score * RANGES).cast("int")
+    placed = F.when(score.isNull(), F.lit(-2)).when(F.isnan(score) | (score > 1), F.lit(RANGES + 1)).when(score < 0, F.lit(-1))
+    return placed.otherwise(inside)
+
+
 def ranking(df: DataFrame, *keys: str, label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """(keys, n, positives, prevalence, average_precision, ap_lift, roc_auc).
 
@@ -73,10 +84,22 @@ def ranking(df: DataFrame, *keys: str, label: str = "label", score: str = "score
     times the gain in recall over distinct scores, and ties count half in
     ROC-AUC. Rows are reduced to one per score before any window; ``weight``
     counts a row several times, so resampled data need no copies of rows.
+    Running sums are taken within ranges of scores and added to the totals of
+    the ranges above, so no task sorts all scores of a cell.
     """
-    steps = _by_score(df, keys, label, score, weight)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"_tps": F.sum("_tp").over(down), "_ns": F.sum("_n").over(down)})
+    steps = _by_score(df, keys, label, score, weight).withColumn("_range", _range(F.col("_score")))
+    totals = steps.groupBy(*keys, "_range").agg(F.sum("_tp").alias("_tp"), F.sum("_n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_key{i}" for i, k in enumerate((*keys, "_range"))}
+    higher = totals.select(
+        *[F.col(k).alias(n) for k, n in names.items()], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_tp", "_n")]
+    )
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, 0)
+    within = steps.withColumns({"_tps": F.sum("_tp").over(down), "_ns": F.sum("_n").over(down)})
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    run = within.join(higher, same).withColumns({"_tps": F.col("_tps") + F.col("_tp_above"), "_ns": F.col("_ns") + F.col("_n_above")})
     tp, n = F.col("_tp").cast("double"), F.col("_n").cast("double")
     # Negatives that rank below a score: all of them less those down to it.
     sums = run.groupBy(*keys).agg(

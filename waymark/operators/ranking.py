@@ -56,13 +56,16 @@ def error_cases(rows: DataFrame, keys: list[str], case: str, score: str, thresho
     placed = rows.withColumn("distance", distance).withColumns(
         {
             "_at": F.row_number().over(w.orderBy("distance", case)),
-            "_far": F.row_number().over(w.orderBy(F.desc("distance"), case)),
+            "_before": F.lag("distance").over(w.orderBy("distance", case)),
+            "_most": F.max("distance").over(w),
             "_n": F.count("*").over(w),
         }
     )
-    nearest, middle, farthest = F.col("_at") == 1, F.col("_at") == F.floor((F.col("_n") - 1) / 2) + 1, F.col("_far") == 1
+    # In one order: the farthest is the first row of the greatest distance.
+    last = (F.col("distance") == F.col("_most")) & ~F.col("_before").eqNullSafe(F.col("distance"))
+    nearest, middle, farthest = F.col("_at") == 1, F.col("_at") == F.floor((F.col("_n") - 1) / 2) + 1, last
     roles = F.array_compact(F.array(F.when(nearest, F.lit("nearest")), F.when(middle, F.lit("median")), F.when(farthest, F.lit("farthest"))))
-    return placed.withColumn("selection", F.explode(roles)).drop("_at", "_far", "_n")
+    return placed.withColumn("selection", F.explode(roles)).drop("_at", "_before", "_most", "_n")
 
 
 def best_and_worst(rows: DataFrame, keys: list[str], metric: str, name: str) -> DataFrame:

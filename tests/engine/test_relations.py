@@ -307,8 +307,11 @@ def test_files_round_trip(spark, tmp_path):
     with pytest.raises(joins.IntegrityError):
         files.keyed_jsonl(spark, str(tmp_path / "twice"), "k int, v string, w string", "k")
     files.write_once(df, str(tmp_path / "p"))
-    with pytest.raises(Exception, match="(?i)exists"):
-        files.write_once(df, str(tmp_path / "p"))
+    files.write_once(df.orderBy("k"), str(tmp_path / "p"))
+    with pytest.raises(joins.IntegrityError, match="differs"):
+        files.write_once(df.where("k = 1"), str(tmp_path / "p"))
+    with pytest.raises(joins.IntegrityError, match="differs"):
+        files.write_once(df.drop("w"), str(tmp_path / "p"))
     found = files.files(spark, str(tmp_path / "p"), (".parquet",))
     assert found.count() >= 1
     files.verify_digests(found, found.select("path", "sha256"))

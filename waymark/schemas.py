@@ -1,39 +1,6 @@
-"""Typed schemas of the engine's records."""
+"""Names that contracts fix."""
 
 from __future__ import annotations
 
-STEP = "step_index INT, action STRING, observation STRING, error STRING, reasoning STRING"
-
-ANNOTATION = (
-    "row_no BIGINT, annotator_name STRING, benchmark STRING, task_id STRING, model_name STRING, trajectory_success STRING, "
-    "trajectory_side_effect STRING, trajectory_looping STRING"
-)
-
-SPLIT = "task_id STRING, benchmark STRING, split STRING"
-
-TRAJECTORY = f"trajectory_key STRING, task STRUCT<instruction: STRING, context: STRING>, steps ARRAY<STRUCT<{STEP.replace(' INT', ': INT').replace(' STRING', ': STRING')}>>"
-
-PREDICTION = (
-    "trajectory_key STRING, group_key STRING, target STRING, method STRING, held_out_group STRING, true_label INT, "
-    "predicted_probability DOUBLE, selected_threshold DOUBLE, predicted_label INT"
-)
-
 #: Column-name parts that a sealed identifier table must not have.
 SEALED_PARTS = ("label", "status", "eligible")
-
-#: The structural features, in their contract order.
-STRUCTURAL_FEATURES = (
-    "step_count",
-    "nonempty_action_count",
-    "nonempty_observation_count",
-    "nonempty_focused_element_count",
-    "natural_error_step_count",
-    "natural_error_step_ratio",
-    "has_explicit_termination_signal",
-    "action_char_count_total",
-    "observation_char_count_total",
-    "action_char_count_mean_nonempty",
-    "observation_char_count_mean_nonempty",
-    "unique_action_ratio",
-    "consecutive_duplicate_action_count",
-)

@@ -66,7 +66,14 @@ def write_csv(rows: DataFrame, path: str, *order: str) -> None:
 
 
 def write_once(rows: DataFrame, path: str) -> None:
-    """Parquet that must not exist yet."""
+    """Parquet that must not exist yet, unless it holds the same rows: then nothing is written."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        before = spark.read.parquet(path)
+        if before.columns != rows.columns or not before.exceptAll(rows).isEmpty() or not rows.exceptAll(before).isEmpty():
+            raise IntegrityError(f"{path} exists and differs")
+        return
     rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.binding import let
-from waymark.operators import metrics, ranking
+from waymark.operators import metrics, ranking, terms
 
 
 def dummies(train: DataFrame, label: str, *keys: str) -> DataFrame:
@@ -40,33 +37,29 @@ def without_accents(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
-        def plain(text: str | None) -> str | None:
-            if text is None or text.isascii():
-                return text
-            return "".join([c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)])
-
-        return s.map(plain)
+        return s.map(lambda x: None if x is None else terms.plain(x))
 
     return strip(text)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-
-
-def n_grams(words: Column, longest: int) -> Column:
-    """Runs of 1 to ``longest`` words, joined by spaces."""
-
-    def runs_of(w: Column, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        found = F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, found).otherwise(F.slice(w, 1, 0))
-
-    def runs(w: Column) -> Column:
-        return F.concat(w, *[runs_of(w, n) for n in range(2, longest + 1)])
-
-    return let(words, runs)
+def tfidf_variants(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    variants: dict[str, int],
+    min_df: int = 2,
+    max_df: float = 1.0,
+    max_features: int = 20_000,
+    fit_on: str | None = None,
+) -> DataFrame:
+    """(key, term, weight, variant): :func:`tfidf` for several longest terms at once, by name."""
+    rows = docs.select(key, F.lower(text).alias("_text"))
+    taught = docs.where(F.col(fit_on)).select(key, F.lower(text).alias("_text")) if fit_on else rows
+    whole = terms.gathered(rows)
+    n = taught.count()
+    found = terms.vocabularies(terms.gathered(taught) if fit_on else whole, set(variants.values()), min_df, max_df * n, max_features)
+    idf = {name: {t: float(np.log((1 + n) / (1 + df)) + 1) for t, _, df, _ in found[longest]} for name, longest in variants.items()}
+    return terms.weights(whole, idf, max(variants.values()))
 
 
 def tfidf(
@@ -74,23 +67,12 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length one by document.
 
-    Terms are runs of 1 to ``longest`` words (T1: 1, T2: 2) of the lower-cased text without accents. The
-    vocabulary has the terms of at least ``min_df`` documents and of at most the share ``max_df`` of them; the
-    most frequent ``max_features`` in the corpus (then by name) stay. With ``fit_on``, a boolean column, only
-    the documents where it holds teach vocabulary and weights; all are transformed.
+    Terms are runs of 1 to ``longest`` words of two or more word characters (T1: 1, T2: 2) of the lower-cased text
+    without accents. The vocabulary has the terms of at least ``min_df`` documents and of at most the share
+    ``max_df`` of them; the most frequent ``max_features`` in the corpus (then by name) stay. With ``fit_on``, a
+    boolean column, only the documents where it holds teach vocabulary and weights; all are transformed.
     """
-    plain = tokens(without_accents(F.lower(F.col(text))))
-    taught = F.col(fit_on) if fit_on else F.lit(True)
-    counts = docs.select(key, taught.alias("_fit"), F.explode(n_grams(plain, longest)).alias("term")).groupBy(key, "_fit", "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count_if(taught).alias("n"))
-    found = counts.where("_fit").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    found = found.crossJoin(F.broadcast(n)).where(F.col("df") <= F.lit(max_df) * F.col("n"))
-    vocabulary = found.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df", "n")
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    # n is one row and the vocabulary has a bounded number of rows.
-    raw = counts.join(vocabulary, "term").withColumn("_w", (1 + F.log("tf")) * idf)
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
-    return raw.join(length, key).select(key, "term", (F.col("_w") / F.col("_length")).alias("weight"))
+    return tfidf_variants(docs, key, text, {"": longest}, min_df, max_df, max_features, fit_on).drop("variant")
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, c: float, balanced: bool, rounds: int = 100) -> tuple[np.ndarray, str]:

@@ -72,8 +72,7 @@ SELECT p_partkey, round((p_size - ms) / ss, 6) AS size, round((p_retailprice - m
 def tfidf_weights(spark, sf):
     """The weights of every text's terms: words (T1), and words and pairs of words (T2)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    parts = [ml.tfidf(docs, "doc_id", "text", longest).withColumn("variant", F.lit(name)) for name, longest in (("T1", 1), ("T2", 2))]
-    return parts[0].unionByName(parts[1]).withColumn("weight", F.round("weight", 6))
+    return ml.tfidf_variants(docs, "doc_id", "text", {"T1": 1, "T2": 2}).withColumn("weight", F.round("weight", 6))
 
 
 TFIDF_SQL = r"""WITH words AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS w FROM documents), grams AS (
